@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,11 +75,11 @@ def _answer_bucket(events: pa.Table, versions: pa.Table) -> pa.Table:
     con.register("events", events)
     con.register("versions", versions)
     try:
-        found = con.execute(_ASOF_SQL).to_arrow_table()
+        found = con.sql(_ASOF_SQL).to_arrow_table()
     finally:
         con.unregister("events")
         con.unregister("versions")
-    return found.filter(pa.compute.is_valid(found["nid"])).select(_ANSWER_ARROW.names).cast(_ANSWER_ARROW)
+    return found.filter(pc.is_valid(found["nid"])).select(_ANSWER_ARROW.names).cast(_ANSWER_ARROW)
 
 
 def entity(*parts: str):
