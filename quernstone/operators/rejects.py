@@ -59,19 +59,27 @@ UNIT_WORDS = {
 
 # Ranks: the smallest failing rank of a row names its reason.
 ROW_FIRST, ROW_SECOND, CELL = 1, 2, 3
+REASONS = {
+    "raw_records": {ROW_FIRST: "quoting", ROW_SECOND: "column_count", CELL: "value"},
+    "statements": {ROW_FIRST: "syntax", ROW_SECOND: "shape", CELL: "value"},
+    "valuations": {CELL: "value"},
+}
+#: (table, column, check, rank of its failure)
+RULES = [
+    *[("raw_records", c, rule, CELL) for c, rule in (
+        ("snapshot_date", "day"), ("available_at", "day"), ("fx_date", "day_or_blank"), ("revision_id", "digits_or_blank"),
+        ("market_cap", "positive_or_unknown"), ("unit_scale", "positive_or_unknown"), ("fx_to_reporting", "positive_or_unknown"))],
+    *[("statements", c, "present", ROW_SECOND) for c in STATEMENT_REQUIRED],
+    *[("statements", c, "text_day", CELL) for c in STATEMENT_DATES],
+    *[("statements", c, "number_or_unknown", CELL) for c in MONEY_FIELDS],
+    ("statements", "unit_scale", "positive", CELL), ("statements", "revision_id", "whole_or_absent", CELL), ("statements", "equity_issued", "issued_flag", CELL),
+    ("valuations", "market_cap", "amount_or_unknown", CELL),
+]
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    """(tbl, column_name, rule, rank, reason): one row per check, a fixed number of rows."""
-    rows = [("raw_records", c, rule, CELL, "value") for c, rule in (
-        ("snapshot_date", "day"), ("available_at", "day"), ("fx_date", "day_or_blank"), ("revision_id", "digits_or_blank"),
-        ("market_cap", "positive_or_unknown"), ("unit_scale", "positive_or_unknown"), ("fx_to_reporting", "positive_or_unknown"))]
-    rows += [("statements", c, "present", ROW_SECOND, "shape") for c in STATEMENT_REQUIRED]
-    rows += [("statements", c, "text_day", CELL, "value") for c in STATEMENT_DATES]
-    rows += [("statements", c, "number_or_unknown", CELL, "value") for c in MONEY_FIELDS]
-    rows += [("statements", "unit_scale", "positive", CELL, "value"), ("statements", "revision_id", "whole_or_absent", CELL, "value"),
-             ("statements", "equity_issued", "issued_flag", CELL, "value"), ("valuations", "market_cap", "amount_or_unknown", CELL, "value")]
-    return spark.createDataFrame(rows, "tbl string, column_name string, rule string, rank int, reason string")
+    """(tbl, column_name, rule, rank): one row per check, a fixed number of rows."""
+    return spark.createDataFrame(RULES, "tbl string, column_name string, rule string, rank int")
 
 
 # -- parsers -----------------------------------------------------------------
@@ -119,17 +127,17 @@ def _no_constant(name: str):
 _strict = json.JSONDecoder(object_pairs_hook=_Pairs, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant)
 
 
-def split_object(text: str | None) -> tuple[str | None, list[tuple[str, str, str | None]]]:
-    """(fault of the row, cells) of one JSON text; a cell is (column, kind, value)."""
+def split_object(text: str | None) -> tuple[int | None, list[tuple[str, str, str | None]]]:
+    """(rank of a fault of the whole row, cells) of one JSON text; a cell is (column, kind, value)."""
     try:
         value = _strict.decode(text)
     except (ValueError, TypeError, RecursionError):
-        return "syntax", []
+        return ROW_FIRST, []
     if not isinstance(value, _Pairs):
-        return "shape", []
+        return ROW_SECOND, []
     names = [k for k, _ in value]
     if len(set(names)) < len(names):
-        return "shape", []
+        return ROW_SECOND, []
     cells = []
     for k, v in value:
         if k in _STATEMENT_CELLS:
@@ -142,15 +150,15 @@ def split_object(text: str | None) -> tuple[str | None, list[tuple[str, str, str
 
 _STATEMENT_CELLS = {*STATEMENT_REQUIRED, *MONEY_FIELDS, "revision_id", "equity_issued"}
 
-PARSED = "row_id bigint, fault string, rank int, cells array<struct<column_name:string,kind:string,value:string>>"
+PARSED = "row_id bigint, fault_rank int, cells array<struct<column_name:string,kind:string,value:string>>"
 _CELL = pa.list_(pa.struct([("column_name", pa.string()), ("kind", pa.string()), ("value", pa.string())]))
-_PARSED_ARROW = pa.schema([("row_id", pa.int64()), ("fault", pa.string()), ("rank", pa.int32()), ("cells", _CELL)])
+_PARSED_ARROW = pa.schema([("row_id", pa.int64()), ("fault_rank", pa.int32()), ("cells", _CELL)])
 _CHECKED_RAW = {r: i for i, r in enumerate(VALUATION_COLUMNS) if r in (
     "snapshot_date", "available_at", "fx_date", "revision_id", "market_cap", "unit_scale", "fx_to_reporting")}
 
 
 def _parsed(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[], [], [], []]
+    columns = list(zip(*rows)) if rows else [[], [], []]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, _PARSED_ARROW)], schema=_PARSED_ARROW)
 
 
@@ -160,11 +168,11 @@ def _parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for row_id, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             cells = split_record(line) if line is not None else []
             if cells is None:
-                rows.append((row_id, "quoting", ROW_FIRST, []))
+                rows.append((row_id, ROW_FIRST, []))
             elif len(cells) != len(VALUATION_COLUMNS):
-                rows.append((row_id, "column_count", ROW_SECOND, []))
+                rows.append((row_id, ROW_SECOND, []))
             else:
-                rows.append((row_id, None, None, [{"column_name": c, "kind": "text", "value": cells[i]} for c, i in _CHECKED_RAW.items()]))
+                rows.append((row_id, None, [{"column_name": c, "kind": "text", "value": cells[i]} for c, i in _CHECKED_RAW.items()]))
         yield _parsed(rows)
 
 
@@ -173,8 +181,7 @@ def _parse_objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows = []
         for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             fault, cells = split_object(text)
-            rank = None if fault is None else ROW_FIRST if fault == "syntax" else ROW_SECOND
-            rows.append((row_id, fault, rank, [dict(zip(("column_name", "kind", "value"), c)) for c in cells]))
+            rows.append((row_id, fault, [dict(zip(("column_name", "kind", "value"), c)) for c in cells]))
         yield _parsed(rows)
 
 
@@ -189,9 +196,11 @@ def parsed_objects(df: DataFrame, row_id: str, payload: str) -> DataFrame:
 
 
 def parsed_amounts(df: DataFrame, row_id: str, column: str) -> DataFrame:
-    """The one checked cell of each valuation row."""
-    cell = F.struct(F.lit("market_cap").alias("column_name"), F.lit("text").alias("kind"), F.col(column).cast("string").alias("value"))
-    return df.select(F.col(row_id).cast("long").alias("row_id"), F.lit(None).cast("string").alias("fault"), F.lit(None).cast("int").alias("rank"), F.array(cell).alias("cells"))
+    """The one checked cell of each valuation row: a null, a number if it states one amount, or other text."""
+    read = with_amount(df.select(F.col(row_id).cast("long").alias("row_id"), F.col(column).cast("string").alias("value")), "value")
+    kind = F.when(is_unknown(F.col("value")), "null").when(F.col("number").isNotNull(), "number").otherwise("text")
+    cell = F.struct(F.lit("market_cap").alias("column_name"), kind.alias("kind"), F.col("value"))
+    return read.select("row_id", F.lit(None).cast("int").alias("fault_rank"), F.array(cell).alias("cells"))
 
 
 # -- checks, built in --------------------------------------------------------
@@ -201,38 +210,43 @@ def _words(groups: dict, *, longest_first: bool = True) -> str:
     return "|".join(sorted(words, key=len, reverse=longest_first))
 
 
-def amount_pattern() -> str:
-    """One number with at most a currency and a unit on either side, also in brackets.
+_AMOUNT_NUMBER = r"(?:[0-9][0-9,]*(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_AMOUNT_GROUPED = r"^(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]*)(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?$"
 
-    Group 1 is the number; the others are listed below.
-    """
-    cur, unit = _words(CURRENCY_WORDS), _words(UNIT_WORDS)
-    number = r"(\+?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?|\+?\.[0-9]+(?:[eE][+-]?[0-9]+)?)"
-    # the look-ahead fixes the number as group 1
-    head = rf"(?=[^0-9+.]*{number})"
-    bare = rf"({cur})?\s*({unit})?元?"
-    boxed = rf"(?:[（(]\s*({cur})?\s*({unit})?元?\s*[）)])?"
-    after = rf"(?:({unit})?元?\s*({cur})?|({cur})\s*({unit})元?)"
-    boxed_after = rf"(?:[（(]\s*({unit})?元?\s*({cur})?\s*[）)])?"
-    return rf"(?iU)^{head}\s*{bare}\s*{boxed}\s*\1\s*{after}\s*{boxed_after}\s*$"
 
+def _beside() -> str:
+    """What may stand beside the number, written as #: the groups are listed below."""
+    cur, unit = _words({k: [w.lower() for w in v] for k, v in CURRENCY_WORDS.items()}), _words(UNIT_WORDS)
+    front = rf"({cur})?({unit})?元?(?:[（(]({cur})?({unit})?元?[）)])?"
+    back = rf"(?:({unit})?元?({cur})?|({cur})({unit})元?)(?:[（(]({unit})?元?({cur})?[）)])?"
+    return rf"^{front}\+?#{back}$"
 
-_UNIT_GROUPS, _CURRENCY_GROUPS = (3, 5, 6, 9, 10), (2, 4, 7, 8, 11)
 
+#: Groups of _beside() that hold units and currencies.
+_UNIT_GROUPS, _CURRENCY_GROUPS = (2, 4, 5, 8, 9), (1, 3, 6, 7, 10)
 
-def amount_parts(text: Column) -> dict[str, Column]:
-    """number, unit word and currency word of an amount; all null where it states no single amount.
 
-    Two units or two currencies beside one number are not a single amount.
-    A lone 元 names neither a unit nor, as it stands for any dollar or yuan, a currency.
+def with_amount(df: DataFrame, column: str) -> DataFrame:
+    """df with number, unit_word and currency_word of the amount in a column; all null where it states no single amount.
+
+    An amount is one number above 0, commas grouping thousands or an exponent
+    allowed, with at most one unit and one currency on either side, also in
+    brackets. A lone 元 names neither a unit nor, as it stands beside any
+    currency, a currency. The number is cut out first, so that what stands
+    beside it is a short text, and mostly none.
     """
-    form = amount_pattern()
-    cut = F.regexp_replace(text, form, "\u0001".join(f"${i}" for i in range(1, 12)))
-    got = F.when(text.rlike(form), F.split(cut, "\u0001", -1))
-    unit, currency = (F.array_remove(F.array(*[got[i - 1] for i in g]), "") for g in (_UNIT_GROUPS, _CURRENCY_GROUPS))
-    number = F.regexp_replace(got[0], ",", "").try_cast("double")
-    fine = (F.size(unit) <= 1) & (F.size(currency) <= 1) & (number > 0) & (number < F.lit(float("inf")))
-    return {"number": F.when(fine, number), "unit_word": F.when(fine, F.lower(F.get(unit, F.lit(0)))), "currency_word": F.when(fine, F.upper(F.get(currency, F.lit(0))))}
+    text = F.regexp_replace(F.lower(F.col(column)), r"(?U)\s+", " ")
+    s1 = df.withColumns({"__num": F.regexp_extract(F.col(column), _AMOUNT_NUMBER, 0), "__rest": F.regexp_replace(F.trim(F.regexp_replace(text, _AMOUNT_NUMBER, "#")), " ", "")})
+    groups = lambda g: ",".join(f"${i}" for i in g)
+    # units and currencies as two lists; the mark between them shows that the form fits
+    read = F.when((F.col("__rest") != "#") & ~F.col("__rest").contains("\u0001"), F.regexp_replace("__rest", _beside(), f"{groups(_UNIT_GROUPS)}\u0001{groups(_CURRENCY_GROUPS)}"))
+    s2 = s1.withColumns({"__read": read, "__value": F.when(F.col("__num").rlike(_AMOUNT_GROUPED), F.regexp_replace("__num", ",", "").try_cast("double"))})
+    part = lambda i: F.btrim(F.split_part(F.col("__read"), F.lit("\u0001"), F.lit(i)), F.lit(","))
+    s3 = s2.withColumns({"__unit": F.coalesce(part(1), F.lit("")), "__cur": F.coalesce(part(2), F.lit(""))})
+    fits = (F.col("__rest") == "#") | (F.col("__read").contains("\u0001") & ~F.col("__unit").contains(",") & ~F.col("__cur").contains(","))
+    s4 = s3.withColumn("number", F.when(fits & (F.col("__value") > 0) & (F.col("__value") < F.lit(float("inf"))), F.col("__value")))
+    named = lambda c: F.when(F.col("number").isNotNull() & (F.col(c) != ""), F.col(c))
+    return s4.withColumns({"unit_word": named("__unit"), "currency_word": named("__cur")}).drop("__num", "__rest", "__read", "__unit", "__cur", "__value")
 
 
 def is_unknown(text: Column) -> Column:
@@ -249,24 +263,35 @@ def _finite(v: Column) -> Column:
     return F.when(F.abs(n) < F.lit(float("inf")), n)
 
 
+def _prepared(cells: DataFrame) -> DataFrame:
+    """Cells with what the checks look at. Stands below the join with the rules, so that it is computed once per cell."""
+    scalar, raw = F.col("kind").isin("number", "text"), F.col("value")
+    return (
+        cells.withColumn("bare", F.when(scalar, F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")))
+        .withColumns({
+            "number": _finite(F.col("bare")), "is_day": F.coalesce(_real_day(raw), F.lit(False)),
+            "unknown": (F.col("kind") == "null") | ((F.col("kind") == "text") & F.col("bare").isin("", *UNKNOWN)),
+            "digits": raw.rlike(r"^[0-9]+$") & ~raw.contains("\n"),
+        })
+    )
+
+
 def _checks() -> dict[str, Column]:
-    kind, raw = F.col("kind"), F.col("value")
-    v = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
-    number, scalar = _finite(v), kind.isin("number", "text")
-    none = lambda c: F.coalesce(c, F.lit(False))
-    unknown = (kind == "null") | ((kind == "text") & is_unknown(raw))
+    """Each check as a test of a prepared cell; null counts as failed."""
+    kind, number, blank = F.col("kind"), F.col("number"), F.col("bare") == ""
+    absent = (kind == "null") | ((kind == "text") & blank)
     return {
-        "day": none(_real_day(raw)),
-        "text_day": none((kind == "text") & _real_day(raw)),
-        "day_or_blank": none((v == "") | _real_day(raw)),
-        "digits_or_blank": none((v == "") | raw.rlike(r"^[0-9]+$") & ~raw.contains("\n")),
-        "positive_or_unknown": none(unknown | (number > 0)),
-        "present": none(kind != "null"),
-        "number_or_unknown": none(unknown | (scalar & number.isNotNull())),
-        "positive": none(scalar & (number > 0)),
-        "whole_or_absent": none((kind == "null") | ((kind == "text") & (v == "")) | (scalar & (number >= 0) & (number == F.floor(number)))),
-        "issued_flag": none((kind == "null") | ((kind == "text") & (v == "")) | (scalar & number.isin(0.0, 1.0))),
-        "amount_or_unknown": none(unknown | amount_parts(raw)["number"].isNotNull()),
+        "day": F.col("is_day"),
+        "text_day": (kind == "text") & F.col("is_day"),
+        "day_or_blank": blank | F.col("is_day"),
+        "digits_or_blank": blank | F.col("digits"),
+        "positive_or_unknown": F.col("unknown") | (number > 0),
+        "present": kind != "null",
+        "number_or_unknown": F.col("unknown") | number.isNotNull(),
+        "positive": number > 0,
+        "whole_or_absent": absent | ((number >= 0) & (number == F.floor(number))),
+        "issued_flag": absent | number.isin(0.0, 1.0),
+        "amount_or_unknown": kind != "text",
     }
 
 
@@ -275,20 +300,19 @@ def failures(parsed: DataFrame, tbl: str) -> DataFrame:
 
     If a row id repeats, the id fails as soon as one of its rows does.
     """
-    rules = rule_table(parsed.sparkSession).where(F.col("tbl") == tbl).drop("tbl")
-    passed = F.lit(True)
-    for rule, check in _checks().items():
-        passed = F.when(F.col("rule") == rule, check).otherwise(passed)
-    # one explode for both kinds of fault: the text is parsed once
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("column_name"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("value")))
-    cells = parsed.select("row_id", "fault", F.col("rank").alias("fault_rank"), F.explode(F.when(F.col("fault").isNotNull(), whole).otherwise(F.col("cells"))).alias("cell"))
-    judged = (
-        cells.select("row_id", "fault", "fault_rank", "cell.*")
-        .join(rules, "column_name", "left")
-        .select("row_id", F.when(F.col("fault").isNotNull(), F.struct(F.col("fault_rank").alias("rank"), F.col("fault").alias("reason"))).when(F.col("rule").isNotNull() & ~passed, F.struct("rank", "reason")).alias("failure"))
-        .where("failure is not null")
-    )
-    return judged.groupBy("row_id").agg(F.min("failure").alias("failure")).select(F.lit(tbl).alias("tbl"), "row_id", F.col("failure.reason").alias("reason"))
+    # a fixed number of rows, whatever the data: always small enough to broadcast, while a shuffle
+    # by column name would send every cell of a column to one task
+    rules = F.broadcast(rule_table(parsed.sparkSession).where(F.col("tbl") == tbl).select("column_name", "rule", "rank"))
+    checks, passed = _checks(), F.lit(True)
+    for rule in dict.fromkeys(r for t, _, r, _ in RULES if t == tbl):
+        passed = F.when(F.col("rule") == rule, F.coalesce(checks[rule], F.lit(False))).otherwise(passed)
+    # a fault of the whole row takes the place of its cells, so that the text is parsed once
+    whole = F.array(F.struct(*[F.lit(None).cast("string").alias(n) for n in ("column_name", "kind", "value")]))
+    cells = parsed.select("row_id", "fault_rank", F.explode(F.when(F.col("fault_rank").isNotNull(), whole).otherwise(F.col("cells"))).alias("cell"))
+    failing = _prepared(cells.select("row_id", "fault_rank", "cell.*")).join(rules, "column_name", "left").where(F.col("fault_rank").isNotNull() | (F.col("rule").isNotNull() & ~passed))
+    worst = failing.groupBy("row_id").agg(F.min(F.coalesce("fault_rank", "rank")).alias("rank"))
+    reason = F.element_at(F.create_map(*[F.lit(x) for pair in REASONS[tbl].items() for x in pair]), F.col("rank"))
+    return worst.select(F.lit(tbl).alias("tbl"), "row_id", reason.alias("reason"))
 
 
 def loadable(df: DataFrame, row_id: str, failed: DataFrame) -> DataFrame:
