@@ -203,6 +203,15 @@ def parsed_amounts(df: DataFrame, row_id: str, column: str) -> DataFrame:
     return read.select("row_id", F.lit(None).cast("int").alias("fault_rank"), F.array(cell).alias("cells"))
 
 
+#: Blanks that may surround a value.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    """text without blanks of any kind at its ends."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 # -- checks, built in --------------------------------------------------------
 
 def _words(groups: dict, *, longest_first: bool = True) -> str:
@@ -235,23 +244,28 @@ def with_amount(df: DataFrame, column: str) -> DataFrame:
     currency, a currency. The number is cut out first, so that what stands
     beside it is a short text, and mostly none.
     """
-    text = F.regexp_replace(F.lower(F.col(column)), r"(?U)\s+", " ")
-    s1 = df.withColumns({"__num": F.regexp_extract(F.col(column), _AMOUNT_NUMBER, 0), "__rest": F.regexp_replace(F.trim(F.regexp_replace(text, _AMOUNT_NUMBER, "#")), " ", "")})
+    raw = F.col(column)
+    # most amounts are a bare number and need no further reading
+    plain = raw.rlike(r"^[0-9]+(?:\.[0-9]+)?$") & ~raw.endswith("\n")
+    s1 = df.withColumn("__plain", F.coalesce(plain, F.lit(False))).withColumns({
+        "__num": F.when(F.col("__plain"), raw).otherwise(F.regexp_extract(raw, _AMOUNT_NUMBER, 0)),
+        # blanks are dropped after the number, so that they cannot join two
+        "__rest": F.when(F.col("__plain"), F.lit("#")).otherwise(F.translate(F.regexp_replace(F.lower(raw), _AMOUNT_NUMBER, "#"), BLANKS, "")),
+    })
     groups = lambda g: ",".join(f"${i}" for i in g)
     # units and currencies as two lists; the mark between them shows that the form fits
     read = F.when((F.col("__rest") != "#") & ~F.col("__rest").contains("\u0001"), F.regexp_replace("__rest", _beside(), f"{groups(_UNIT_GROUPS)}\u0001{groups(_CURRENCY_GROUPS)}"))
-    s2 = s1.withColumns({"__read": read, "__value": F.when(F.col("__num").rlike(_AMOUNT_GROUPED), F.regexp_replace("__num", ",", "").try_cast("double"))})
+    s2 = s1.withColumns({"__read": read, "__value": F.when(F.col("__plain"), F.col("__num").try_cast("double")).when(F.col("__num").rlike(_AMOUNT_GROUPED), F.translate("__num", ",", "").try_cast("double"))})
     part = lambda i: F.btrim(F.split_part(F.col("__read"), F.lit("\u0001"), F.lit(i)), F.lit(","))
     s3 = s2.withColumns({"__unit": F.coalesce(part(1), F.lit("")), "__cur": F.coalesce(part(2), F.lit(""))})
     fits = (F.col("__rest") == "#") | (F.col("__read").contains("\u0001") & ~F.col("__unit").contains(",") & ~F.col("__cur").contains(","))
     s4 = s3.withColumn("number", F.when(fits & (F.col("__value") > 0) & (F.col("__value") < F.lit(float("inf"))), F.col("__value")))
     named = lambda c: F.when(F.col("number").isNotNull() & (F.col(c) != ""), F.col(c))
-    return s4.withColumns({"unit_word": named("__unit"), "currency_word": named("__cur")}).drop("__num", "__rest", "__read", "__unit", "__cur", "__value")
+    return s4.withColumns({"unit_word": named("__unit"), "currency_word": named("__cur")}).drop("__plain", "__num", "__rest", "__read", "__unit", "__cur", "__value")
 
 
 def is_unknown(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    return text.isNull() | bare.isin("", *UNKNOWN)
+    return text.isNull() | strip(text).isin("", *UNKNOWN)
 
 
 def _real_day(v: Column) -> Column:
@@ -267,7 +281,7 @@ def _prepared(cells: DataFrame) -> DataFrame:
     """Cells with what the checks look at. Stands below the join with the rules, so that it is computed once per cell."""
     scalar, raw = F.col("kind").isin("number", "text"), F.col("value")
     return (
-        cells.withColumn("bare", F.when(scalar, F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")))
+        cells.withColumn("bare", F.when(scalar, strip(raw)))
         .withColumns({
             "number": _finite(F.col("bare")), "is_day": F.coalesce(_real_day(raw), F.lit(False)),
             "unknown": (F.col("kind") == "null") | ((F.col("kind") == "text") & F.col("bare").isin("", *UNKNOWN)),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quernstone.operators.rejects import strip
+
 
 def clean_ticker(name: str) -> Column:
     """Ticker without surrounding blanks of any kind, in upper case; null stays null."""
-    return F.upper(F.regexp_replace(F.col(name), r"(?U)^\s+|\s+$", ""))
+    return F.upper(strip(F.col(name)))
