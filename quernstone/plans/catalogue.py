@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quernstone.plans import delivery
+from quernstone.plans import delivery, years
 
-_PARTS = [delivery]
+_PARTS = [delivery, years]
 QUERIES = {name: q for p in _PARTS for name, q in p.QUERIES.items()}
 SQL = {name: s for p in _PARTS for name, s in p.SQL.items()}
