@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernstone.operators.rejects import NUMBER, UNKNOWN, strip
 
@@ -60,7 +61,7 @@ def capped(x: Column, most: float) -> Column:
     return F.when(x.isNotNull(), F.least(x, F.lit(most)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rank_key(x: pd.Series) -> pd.Series:
     """x to 12 significant digits, so that noise in the last places does not rank."""
     return x.map(lambda v: None if pd.isna(v) else float(f"{v:.12g}"))

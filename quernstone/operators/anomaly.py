@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEAST = 12
 
@@ -49,7 +50,7 @@ def residuals(df: DataFrame, cohort: Sequence[str], key: str, features: Sequence
         F.max(sum((F.col("__x")[i] * F.col("__x")[i] for i in range(len(fs))), F.lit(0.0))).alias("__big"),
     )
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def basis(n: pd.Series, act: pd.Series, mean: pd.Series, prod: pd.Series) -> pd.Series:
         """The kept components, row by row; empty where the cohort has too few active features."""
         out = []
