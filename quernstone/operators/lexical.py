@@ -84,7 +84,7 @@ def near_duplicates(df: DataFrame, doc: str, text: str, group: str, order: Seque
     earliest document. Null groups and texts without terms have no match.
     """
     place = F.struct(*order, doc)
-    base = df.where(F.col(group).isNotNull() & F.col(text).isNotNull()).select(doc, group, text, place.alias("place"), F.xxhash64(group, tx.fold(F.col(text))).alias("a"), F.md5(tx.fold(F.col(text))).alias("b"))
+    base = df.where(F.col(group).isNotNull() & (F.size(tx.terms(F.col(text))) > 0)).select(doc, group, text, place.alias("place"), F.xxhash64(group, tx.fold(F.col(text))).alias("a"), F.md5(tx.fold(F.col(text))).alias("b"))
     base = base.drop(text)
     firsts = base.groupBy(group, "a", "b").agg(F.min(F.struct("place", doc)).alias("first"), F.count(F.lit(1)).alias("copies")).select(group, "a", "b", F.col(f"first.{doc}").alias("head"), F.col("first.place").alias("head_place"))
     copies = base.join(firsts, [group, "a", "b"]).where(F.col(doc) != F.col("head")).select(F.col(doc), F.col("head").alias("match"), F.lit(1.0).alias("similarity"))
