@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as tx
+from quernstone.session import use_checkpoints
 
 K1, B = 1.5, 0.75
 
@@ -80,7 +81,9 @@ def near_duplicates(df: DataFrame, doc: str, text: str, group: str, order: Seque
     text form a class, which its first member stands for: later members match
     that member. Between classes, a cosine of at least t needs a common term
     in both prefixes, where a prefix takes a vector's rarest terms until what
-    is left has a norm below t; only such pairs are verified. Ties go to the
+    is left has a norm below t. What a pair shares there, with the norms of
+    both rests, bounds its cosine; only pairs whose bound reaches t are
+    verified. Ties go to the
     earliest document. Null groups and texts without terms have no match.
     """
     place = F.struct(*order, doc)
@@ -91,14 +94,27 @@ def near_duplicates(df: DataFrame, doc: str, text: str, group: str, order: Seque
 
     weights = tfidf(df.where(F.col(group).isNotNull()), doc, text, group)
     heads = firsts.select(F.col("head").alias(doc), "head_place")
-    w = weights.join(heads, doc)
+    # read three times below, and costly to make
+    use_checkpoints(df.sparkSession)
+    w = weights.join(heads, doc).checkpoint()
     frequency = w.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    in_order = Window.partitionBy(doc).orderBy("df", "term")
-    ranked = w.join(frequency, "term").withColumn("before", F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    # what is left from this term on has the norm sqrt(1 - before)
-    prefix = ranked.where(F.sqrt(F.greatest(1 - F.col("before"), F.lit(0.0))) >= threshold - 1e-9).select(group, "term", doc, "head_place")
-    later, earlier = prefix, prefix.select(group, "term", F.col(doc).alias("match"), F.col("head_place").alias("match_place"))
-    candidates = later.join(earlier, [group, "term"]).where(F.col("match_place") < F.col("head_place")).select(doc, "match", "match_place").distinct()
+    in_order, whole = Window.partitionBy(doc).orderBy("df", "term"), Window.partitionBy(doc)
+    mass = F.col("weight") * F.col("weight")
+    ranked = w.join(frequency, "term").withColumn("held", F.sum(mass).over(in_order))
+    # what is left from a term on has the norm sqrt(1 - what was held before it)
+    prefix = ranked.where(F.sqrt(F.greatest(1 - (F.col("held") - mass), F.lit(0.0))) >= threshold - 1e-9)
+    prefix = prefix.withColumns({"last": F.max(F.struct("df", "term")).over(whole), "rest": F.sqrt(F.greatest(1 - F.max("held").over(whole), F.lit(0.0)))})
+    later = prefix.select(group, "term", doc, "head_place", "weight", "held", "last", "rest")
+    earlier = prefix.select(group, "term", F.col(doc).alias("match"), F.col("head_place").alias("match_place"), *[F.col(c).alias(f"{c}_m") for c in ("weight", "held", "last", "rest")])
+    met = later.join(earlier, [group, "term"]).where(F.col("match_place") < F.col("head_place"))
+    pairs = met.groupBy(doc, "match", "match_place").agg(
+        F.sum(F.col("weight") * F.col("weight_m")).alias("shared"), F.max("held").alias("held"), F.max("held_m").alias("held_m"),
+        F.first("rest").alias("rest"), F.first("rest_m").alias("rest_m"), F.first(F.col("last") <= F.col("last_m")).alias("ends_first"),
+    )
+    # up to the end of the shorter prefix all common terms are known; beyond it lie the rests of both
+    open_ = lambda c: F.sqrt(F.greatest(1 - F.col(c), F.lit(0.0)))
+    bound = F.col("shared") + F.when(F.col("ends_first"), F.col("rest") * open_("held_m")).otherwise(F.col("rest_m") * open_("held"))
+    candidates = pairs.where(bound >= threshold - 1e-9).select(doc, "match", "match_place")
     right = w.select(F.col(doc).alias("match"), "term", F.col("weight").alias("other"))
     verified = (
         candidates.join(w.select(doc, "term", "weight"), doc).join(right, ["match", "term"])

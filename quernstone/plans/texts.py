@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as tx
 from quernstone.operators import lexical, vectors
 from quernstone.operators.tickers import clean_ticker
-from quernstone.session import table
+from quernstone.session import spread, table
 
 TOPICS = {
     "capacity": ["capacity expansion", "扩产", "kapazität"], "orders": ["order book", "在手订单"], "energy": ["energy retrofit", "单位能耗", "rénovation énergétique"],
@@ -20,7 +20,7 @@ QUERY_EVERY = 50
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", clean_ticker("ticker").alias("ticker"), "available_at")
+    return spread(table(spark, d, "documents").select("doc_id", "text", clean_ticker("ticker").alias("ticker"), "available_at"))
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -163,7 +163,7 @@ _PAIRS = "flatten([CASE WHEN length(r) = 1 THEN [r] ELSE [substr(r, i, 2) FOR i
 
 def _terms_sql(c: str) -> str:
     t = _FOLD.format(c=c)
-    return f"list_concat(['en:' || w FOR w IN {_WORDS.format(t=t)}], ['zh:' || w FOR w IN {_PAIRS.format(t=t)}])"
+    return f"list_concat({_WORDS.format(t=t)}, {_PAIRS.format(t=t)})"
 
 
 _POST = f"""docs AS (SELECT doc_id, upper(trim(ticker)) AS ticker, available_at, text, {_terms_sql('text')} AS terms FROM documents),

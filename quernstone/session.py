@@ -31,6 +31,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the cluster has cores.
+
+    Only an input that is read in fewer pieces is dealt out again, that is one
+    so small that its files cannot be split; larger ones stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Honour the cluster's shared checkpoint folder; set one only where none is named."""
     sc = spark.sparkContext
