@@ -64,10 +64,10 @@ halt die fresse; halt dein maul; halt's maul; fick dich; verpiss dich; leck mich
 
 #: Complete threats, wishes of death and calls to self-harm.
 THREAT = """
-break your legs; break your neck; break your arms; break every bone; know where you live; know where your kids; watch your back; you bleed; you will bleed; waiting at the parking lot with; waiting for you with a; with a hammer; with a knife; with an axe; with a baseball bat; a shame if it exploded; exploded with you inside; will cripple you; cripple you and; hang yourself; kill yourself; kill yourselves; jump off the roof; jump off a roof; jump off a bridge; jump off the bridge; jump in front of; slit your; cut your throat; bullet in your; bullet through your; burn your house; burn down your; hope you die; hope you all die; hope you get cancer; drop dead; you will die; you are dead; you're dead; dead meat; going to kill you; will kill you; i'll kill you; gonna kill you; kill you all; gut you; beat you to death; beat you up; hunt you down; i will find you; we will find you; smash your skull; smash your face; rot in hell; shoot you; stab you; strangle you; one eye open; you won't leave alive; won't see tomorrow; bury you
-je vais te tuer; on va te tuer; je te tuerai; je vais vous tuer; te faire la peau; fera la peau; te crever; va te pendre; allez vous pendre; pends-toi; crève; crevez; je sais où tu habites; on sait où tu habites; sais où tu habites; casser les jambes; te casserai; casser la gueule; péter les genoux; trancher la gorge; t'égorger; t'égorgerai; tu vas crever; vous allez crever; tu vas mourir; suicide-toi; saute du toit; saute par la fenêtre; saute d'un pont; je te retrouverai; on te retrouvera; je vais te retrouver; brûler ta maison; je vais t'étrangler; te buter; je te bute
-bringe dich um; bring dich um; bringen dich um; schlage dich tot; schlag dich tot; schlagen dich tot; finde dich und; stech dich ab; steche dich ab; erschieße dich; ich töte dich; wir töten dich; breche dir; brech dir; brechen dir; häng dich auf; hängt euch auf; erhäng dich; verrecke; verreck; spring vom dach; spring von der brücke; weiß wo du wohnst; weiß, wo du wohnst; wissen wo du wohnst; wissen, wo du wohnst; wir kriegen dich; die kehle; bringt euch um; zünde dein haus; du bist tot; du wirst sterben; mach dich kalt; mache dich kalt
-я тебя найду; тебя найду; найду и убью; я тебя убью; тебя убью; убью тебя; мы тебя убьём; мы тебя убьем; тебя зарежу; зарежу тебя; прирежу; тебе не жить; сдохни; сдохните; чтоб ты сдох; чтобы ты сдох; повесься; удавись; прыгни с; спрыгни с; сломаю тебе; переломаю; сломаем тебе; переломаем; знаю где ты живёшь; знаю, где ты живёшь; знаем где ты живёшь; знаем, где ты живёшь; знаю, где живёшь; башку оторву; голову оторву; убей себя; убейся; сожгу твой; закопаю тебя; закопаем тебя; порву тебя; изобью; покалечу; придушу
+break your legs; break your neck; break your arms; break every bone; know where you live; know where your kids; watch your back; you bleed; you will bleed; i will be waiting at; i will be waiting for you; i'll be waiting at; i'll be waiting for you; we will be waiting at; we will be waiting for you; waiting at your; with a can of petrol; a shame if it exploded; exploded with you inside; will cripple you; cripple you and; hang yourself; kill yourself; kill yourselves; jump off the roof; jump off a roof; jump off a bridge; jump off the bridge; jump in front of; slit your; cut your throat; bullet in your; bullet through your; burn your house; burn down your; hope you die; hope you all die; hope you get cancer; drop dead; you will die; you are dead; you're dead; dead meat; going to kill you; will kill you; i'll kill you; gonna kill you; kill you all; gut you; beat you to death; beat you up; hunt you down; i will find you; we will find you; smash your skull; smash your face; rot in hell; shoot you; stab you; strangle you; one eye open; you won't leave alive; won't see tomorrow; bury you
+je vais te tuer; on va te tuer; je te tuerai; je vais vous tuer; te faire la peau; fera la peau; te crever; va te pendre; allez vous pendre; pends-toi; crève; crevez; je sais où tu habites; on sait où tu habites; sais où tu habites; casser les jambes; te casserai; casser la gueule; péter les genoux; trancher la gorge; t'égorger; t'égorgerai; tu vas crever; vous allez crever; tu vas mourir; suicide-toi; saute du toit; saute par la fenêtre; saute d'un pont; je t'attendrai; on t'attendra; je te retrouverai; on te retrouvera; je vais te retrouver; brûler ta maison; je vais t'étrangler; te buter; je te bute
+bringe dich um; bring dich um; bringen dich um; schlage dich tot; schlag dich tot; schlagen dich tot; finde dich und; stech dich ab; steche dich ab; erschieße dich; ich töte dich; wir töten dich; breche dir; brech dir; brechen dir; häng dich auf; hängt euch auf; erhäng dich; verrecke; verreck; spring vom dach; spring von der brücke; weiß wo du wohnst; weiß, wo du wohnst; wissen wo du wohnst; wissen, wo du wohnst; wir kriegen dich; ich warte auf dich vor; ich lauere dir; die kehle; bringt euch um; zünde dein haus; du bist tot; du wirst sterben; mach dich kalt; mache dich kalt
+я тебя найду; тебя найду; найду и убью; я тебя убью; тебя убью; убью тебя; мы тебя убьём; мы тебя убьем; тебя зарежу; зарежу тебя; прирежу; тебе не жить; сдохни; сдохните; чтоб ты сдох; чтобы ты сдох; повесься; удавись; прыгни с; спрыгни с; сломаю тебе; переломаю; сломаем тебе; переломаем; знаю где ты живёшь; знаю, где ты живёшь; знаем где ты живёшь; знаем, где ты живёшь; знаю, где живёшь; башку оторву; голову оторву; убей себя; убейся; сожгу твой; закопаю тебя; закопаем тебя; порву тебя; буду ждать тебя; подкараулю; изобью; покалечу; придушу
 去死吧; 还不去死; 不去死; 你去死; 快去死; 去死啊; 去4; 去死,; 去死!; 不死吗; 砍死; 捅死; 捅了你; 弄死; 打死你; 杀了你; 杀你全家; 宰了你; 剁了; 剁碎; 打残; 打断你; 弄残; 上吊; 从楼上跳; 跳楼吧; 去跳楼; 躺着出; 见一次打一次; 见你一次打; 知道你住哪; 知道你家住; 会场堵你; 堵你; 收尸; 孩子在哪上学; 带刀去; 拿刀去; 放火烧你; 烧你家; 割腕吧; 喝农药; 撞死你; 让你消失; 要你的命; 要你命; 取你狗命; 你死定了; 不得好死; 炸了你; 弄你全家; 全家都得死
 """
 
