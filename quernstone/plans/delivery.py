@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.operators import asof, rejects, units
 from quernstone.operators.tickers import clean_ticker
+from quernstone.plans.delivery_sql import SQL
 from quernstone.session import table
 
 
@@ -52,16 +53,6 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded, "p4_found": p4_found, "p4_amounts": p4_amounts, "p5_found": p5_found}
+__all__ = ["QUERIES", "SQL"]
 
-SQL = {
-    "p5_found": """
-        WITH known AS (
-            SELECT s.statement_id, v.valuation_id,
-                   row_number() OVER (PARTITION BY s.statement_id ORDER BY v.snapshot_date DESC, v.available_at DESC,
-                                      v.revision_id DESC NULLS LAST, v.valuation_id) AS place
-            FROM statements s JOIN valuations v
-              ON s.run_id = v.run_id AND upper(trim(s.ticker)) = upper(trim(v.ticker))
-             AND v.snapshot_date <= s.available_at AND v.available_at <= s.available_at)
-        SELECT statement_id, valuation_id FROM known WHERE place = 1""",
-}
+QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded, "p4_found": p4_found, "p4_amounts": p4_amounts, "p5_found": p5_found}
