@@ -20,27 +20,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.operators.ranks import group_key, quantiles
+from quernstone.session import use_checkpoints
+
 LEAST = 12
 
 
 def residuals(df: DataFrame, cohort: Sequence[str], key: str, features: Sequence[str], *, least: int = LEAST) -> DataFrame:
     """(key, cohort, error, threshold, flagged, skipped) of every row.
 
-    skipped names why a row has no error: 'incomplete' (a feature is null or
-    not finite), 'small_cohort' (fewer than `least` complete rows),
+    skipped names why a row has no error: 'no_cohort' (a part of it is null),
+    'incomplete' (a feature is null or not finite), 'small_cohort' (fewer than `least` complete rows),
     'few_active_features' (fewer than two features with spread).
     """
     fs = list(features)
     complete = F.lit(True)
     for f in fs:
         complete = complete & F.col(f).isNotNull() & ~F.isnan(f) & (F.abs(F.col(f)) < float("inf"))
+    placed = F.lit(True)
+    for c in cohort:
+        placed = placed & F.col(c).isNotNull()
+    complete = complete & placed
     base = df.select(key, *cohort, *fs).withColumn("__ok", complete)
     full = base.where("__ok")
-    spread = full.groupBy(*cohort).agg(F.count(F.lit(1)).alias("__n"), *[F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__q_{f}") for f in fs])
-    scaled = full.join(spread, list(cohort))
+    # written once: read for the quantiles and for scaling
+    use_checkpoints(df.sparkSession)
+    full = full.withColumn("__g", group_key(cohort)).checkpoint()
+    spread = quantiles(full, cohort, fs, (0.25, 0.5, 0.75)).withColumn("__n", F.col(f"{fs[0]}_n"))
+    scaled = full.join(spread, "__g")
     for f in fs:
-        iqr = F.col(f"__q_{f}")[2] - F.col(f"__q_{f}")[0]
-        scaled = scaled.withColumn(f"__x_{f}", F.when(iqr > 0, (F.col(f) - F.col(f"__q_{f}")[1]) / iqr).otherwise(0.0)).withColumn(f"__a_{f}", (iqr > 0).cast("int"))
+        iqr = F.col(f"{f}_q")[2] - F.col(f"{f}_q")[0]
+        scaled = scaled.withColumn(f"__x_{f}", F.when(iqr > 0, (F.col(f) - F.col(f"{f}_q")[1]) / iqr).otherwise(0.0)).withColumn(f"__a_{f}", (iqr > 0).cast("int"))
     xs = [F.col(f"__x_{f}") for f in fs]
     scaled = scaled.select(key, *cohort, "__n", F.array(*xs).alias("__x"), F.array(*[F.col(f"__a_{f}") for f in fs]).alias("__act"))
     pairs = [(i, j) for i in range(len(fs)) for j in range(i, len(fs))]
@@ -80,16 +90,19 @@ def residuals(df: DataFrame, cohort: Sequence[str], key: str, features: Sequence
     dot = lambda v, w: F.aggregate(F.zip_with(v, w, lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
     part = lambda i: F.slice("__basis", i * size + 1, size)
     has = lambda i: F.size("__basis") >= (i + 1) * size
+    # a function of its own: a second parameter of the lambda would be the index
+    stretched = lambda v, by: F.transform(v, lambda x: x * by)
     left = F.col("__c")
     for i in range(2):
         along = F.when(has(i), dot(F.col("__c"), part(i))).otherwise(0.0)
         vector = F.when(has(i), part(i)).otherwise(F.array_repeat(F.lit(0.0), size))
-        left = F.zip_with(left, F.transform(vector, lambda b, along=along: b * along), lambda x, y: x - y)
+        left = F.zip_with(left, stretched(vector, along), lambda x, y: x - y)
     e = c.withColumn("__r", left).withColumn("error", F.when(F.size("__basis") > 0, dot(F.col("__r"), F.col("__r"))))
-    limit = e.groupBy(*cohort).agg(F.percentile("error", 0.95).alias("threshold"))
+    e = e.withColumn("__g", group_key(cohort))
+    limit = quantiles(e, cohort, ["error"], [0.95]).select("__g", F.col("error_q")[0].alias("threshold"))
     noise = 100 * float(np.finfo(float).eps) * F.greatest(F.lit(1.0), F.col("__big"))
-    scored = e.join(limit, list(cohort)).withColumn("flagged", F.col("error") > F.col("threshold") + noise)
+    scored = e.join(limit, "__g", "left").withColumn("flagged", F.col("error") > F.col("threshold") + noise)
     scored = scored.select(key, *cohort, "error", "threshold", F.coalesce("flagged", F.lit(False)).alias("flagged"),
                            F.when(F.col("__n") < least, "small_cohort").when(F.col("error").isNull(), "few_active_features").alias("skipped"))
-    rest = base.where("not __ok").select(key, *cohort, F.lit(None).cast("double").alias("error"), F.lit(None).cast("double").alias("threshold"), F.lit(False).alias("flagged"), F.lit("incomplete").alias("skipped"))
+    rest = base.where("not __ok").select(key, *cohort, F.lit(None).cast("double").alias("error"), F.lit(None).cast("double").alias("threshold"), F.lit(False).alias("flagged"), F.when(placed, "incomplete").otherwise("no_cohort").alias("skipped"))
     return scored.unionByName(rest)

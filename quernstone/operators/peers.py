@@ -1,28 +1,13 @@
-"""Peer comparison: midranks, blocks, composites, outliers."""
+"""Peer comparison: blocks of percentiles, composites, outliers."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def midrank(df: DataFrame, cohort: Sequence[str], value: str, *, higher: bool = True, least: int = 5, name: str | None = None) -> DataFrame:
-    """df with the percentile of a value among its peers.
-
-    Ties share the middle of their places, a constant or single-member cohort
-    is 50, lower-is-better is the reverse of the percentile; a null value, or
-    a cohort with fewer than `least` values, has none. One sort per cohort.
-    """
-    known = F.col(value).isNotNull()
-    ordered = Window.partitionBy(*cohort, known).orderBy(value)
-    whole, ties = Window.partitionBy(*cohort, known), Window.partitionBy(*cohort, known, value)
-    n, same = F.count(value).over(whole), F.count(value).over(ties)
-    place = F.rank().over(ordered) - 1 + (same - 1) / 2
-    percent = F.when(n == same, F.lit(50.0)).otherwise(F.try_divide(place, n - 1) * 100)
-    percent = percent if higher else 100 - percent
-    return df.withColumn(name or f"{value}_pct", F.when(known & (n >= least), percent))
+from quernstone.operators.ranks import group_key, quantiles
 
 
 def block(*parts: str) -> Column:
@@ -45,18 +30,12 @@ def composite(weights: Mapping[str, float]) -> Column:
 def mad_outlier(df: DataFrame, cohort: Sequence[str], value: str, *, limit: float = 5.0, least: int = 5, name: str | None = None) -> DataFrame:
     """df with a flag for values further than `limit` scaled median deviations from the cohort's median.
 
-    The two medians come from aggregates of the cohort, joined back, so that no
-    task holds a cohort's rows. Null where the value is, or where there are too
-    few values or no spread.
+    Both medians are exact, and found without bringing a cohort into one task.
+    Null where the value is, or where there are too few values or no spread.
     """
-    # null-safe keys: a cohort may have null parts
-    def back(left: DataFrame, right: DataFrame, tag: str) -> DataFrame:
-        renamed = right.select(*[F.col(c).alias(f"{tag}_{c}") for c in cohort], *[c for c in right.columns if c not in cohort])
-        on = [left[c].eqNullSafe(renamed[f"{tag}_{c}"]) for c in cohort]
-        return left.join(renamed, on, "left").drop(*[f"{tag}_{c}" for c in cohort])
-
-    with_median = back(df, df.groupBy(*cohort).agg(F.percentile(value, 0.5).alias("__med"), F.count(value).alias("__n")), "__a")
-    gaps = with_median.withColumn("__gap", F.abs(F.col(value) - F.col("__med")))
-    out = back(gaps, gaps.groupBy(*cohort).agg(F.percentile("__gap", 0.5).alias("__mad")), "__b")
+    x = df.withColumn("__g", group_key(cohort))
+    center = quantiles(df, cohort, [value], [0.5]).select("__g", F.col(f"{value}_q")[0].alias("__med"), F.col(f"{value}_n").alias("__n"))
+    gaps = x.join(center, "__g", "left").withColumn("__gap", F.abs(F.col(value) - F.col("__med")))
+    spread = quantiles(gaps, cohort, ["__gap"], [0.5]).select("__g", F.col("__gap_q")[0].alias("__mad"))
     flag = F.when((F.col("__n") >= least) & (F.col("__mad") > 0), F.try_divide(F.col("__gap"), F.col("__mad") * 1.4826) > limit)
-    return out.withColumn(name or f"{value}_outlier", flag).drop("__med", "__n", "__gap", "__mad")
+    return gaps.join(spread, "__g", "left").withColumn(name or f"{value}_outlier", flag).drop("__g", "__med", "__n", "__gap", "__mad")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import numeric as nm
-from quernstone.operators import evaluation, peers, versions
+from quernstone.operators import evaluation, peers, ranks, versions
 from quernstone.session import table
 
 ITEMS = ("revenue", "cogs", "tax", "qty", "orders")
@@ -142,9 +142,9 @@ _COHORT = ["region", "segment"]
 
 
 def _blocks(df: DataFrame) -> DataFrame:
-    for m in sorted({m for ms in BLOCKS.values() for m in ms}):
-        # noise in the last places must not part equal values
-        df = peers.midrank(df.withColumn(m, F.round(m, 9)), _COHORT, m, higher=m not in LOWER_IS_BETTER)
+    measures = sorted({m for ms in BLOCKS.values() for m in ms})
+    # noise in the last places must not part equal values
+    df = ranks.midranks(df.withColumns({m: F.round(m, 9) for m in measures}), "ck", _COHORT, {m: m not in LOWER_IS_BETTER for m in measures})
     return df.withColumns({b: peers.block(*[f"{m}_pct" for m in ms]) for b, ms in BLOCKS.items()}).withColumn("score", peers.composite(WEIGHTS))
 
 
@@ -186,8 +186,10 @@ def q_outliers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("roe", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.95)]))
-    return metrics(spark, d).groupBy(*_COHORT).agg(q.alias("q")).select(*_COHORT, *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q25", "q50", "q75", "q95"))])
+    m = metrics(spark, d).select(*_COHORT, "roe")
+    q = ranks.quantiles(m, _COHORT, ["roe"], (0.25, 0.5, 0.75, 0.95))
+    cohorts = m.select(*_COHORT).distinct().withColumn("__g", ranks.group_key(_COHORT))
+    return cohorts.join(q, "__g", "left").select(*_COHORT, *[F.round(F.col("roe_q")[i], 6).alias(n) for i, n in enumerate(("q25", "q50", "q75", "q95"))])
 
 
 def q_metric_coverage(spark: SparkSession, d: str) -> DataFrame:
