@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import sentences as st
 from quernstone.functions import text as tx
-from quernstone.operators import anomaly, evaluation, vectors
+from quernstone.operators import anomaly, coverage, evaluation, gates, models, passages, vectors
+from quernstone.operators.tickers import clean_ticker
 from quernstone.plans import texts, years
 from quernstone.session import table, use_checkpoints
 from quernstone.streaming import upserts
@@ -80,7 +81,57 @@ def q_stream(spark: SparkSession, d: str) -> DataFrame:
     return upserts.read_latest(spark, folder, key, order, keep)
 
 
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    return passages.passages(texts._docs(spark, d), "doc_id", "text", "ticker", "available_at")
+
+
+def q_units(spark: SparkSession, d: str) -> DataFrame:
+    """Passages per issuer: all, and distinct ones."""
+    return _passages(spark, d).groupBy("ticker").agg(F.count(F.lit(1)).alias("passages"), F.count_distinct("unit").alias("units"))
+
+
+def q_passage_search(spark: SparkSession, d: str) -> DataFrame:
+    found = passages.search(_passages(spark, d), "ticker", "doc_id", "available_at", texts._asked(spark, d), "query_id", "query")
+    return found.select("query_id", "ticker", "place", "unit", F.round("score", 6).alias("score"), "versions", "newest")
+
+
+def q_encoded(spark: SparkSession, d: str) -> DataFrame:
+    """The ten titles nearest to each catalog title, by a hashing encoder over distinct texts."""
+    e = models.encode_distinct(table(spark, d, "theme_documents"), "title", models.HashEncoder())
+    q = models.encode_distinct(table(spark, d, "title_catalog"), "title", models.HashEncoder()).select(F.col("text_key").alias("query_key"), F.col("embedding").alias("asked"))
+    return vectors.cosine_topk(e, "text_key", "embedding", q, "query_key", "asked", k=10).select("query_key", "text_key", F.round("score", 5).alias("score"), "rank")
+
+
+def q_reranked(spark: SparkSession, d: str) -> DataFrame:
+    """The fifty best documents of each query, ordered again by a reranker; the ten best stay."""
+    top = vectors.top_ranked(texts._bm25(spark, d).withColumn("score", F.round("score", 8)), "query_id", "doc_id", "score", k=50)
+    with_text = top.join(texts._docs(spark, d).select("doc_id", "text"), "doc_id").join(texts._asked(spark, d), "query_id")
+    r = models.rerank(with_text, "query_id", "query", "doc_id", "text", models.OverlapReranker())
+    return vectors.top_ranked(r.withColumn("score", F.round("rerank_score", 8)), "query_id", "doc_id", "score", k=10).select("query_id", "doc_id", "rank")
+
+
+def q_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Whether coverage, completeness and freshness of a delivery suffice."""
+    c = table(spark, d, "companies").select(clean_ticker("ticker").alias("ticker"))
+    of = lambda t: coverage.coverage_ratio(c, table(spark, d, t).select(clean_ticker("ticker").alias("ticker")), "ticker")
+    x = table(spark, d, "documents")
+    g = gates.gates({
+        "document_coverage": (of("documents"), "ratio", ">=", 0.5), "valuation_coverage": (of("valuations"), "ratio", ">=", 0.9), "hashed_documents": (x.agg((F.count("source_sha256") / F.count(F.lit(1))).alias("v")), "v", ">=", 0.75),
+        "unknown_texts": (x.agg(F.count_if(F.col("text").isNull()).alias("v")), "v", "<=", 1000), "newest_day_age": (x.agg(F.datediff(F.lit("2027-01-01").cast("date"), F.max("available_at")).alias("v")), "v", "<=", 365),
+    })
+    return g.select("check", F.round("value", 6).alias("value"), "bound", "passed")
+
+
+def q_binary(spark: SparkSession, d: str) -> DataFrame:
+    """Hits and misses of the ten best documents per query against the positively judged ones."""
+    top = vectors.top_ranked(texts._bm25(spark, d).withColumn("score", F.round("score", 8)), "query_id", "doc_id", "score", k=10).select("query_id", "doc_id", F.lit(True).alias("found"))
+    good = _grades(spark, d).where("grade > 0").select("query_id", "doc_id", F.lit(True).alias("good"))
+    j = top.join(good, ["query_id", "doc_id"], "full")
+    return j.groupBy("query_id").agg(F.count_if(F.col("found") & F.col("good")).alias("tp"), F.count_if(F.col("found") & F.col("good").isNull()).alias("fp"), F.count_if(F.col("found").isNull()).alias("fn"))
+
+
 QUERIES = {
+    "passage_units": q_units, "passage_search": q_passage_search, "encoded_titles_topk": q_encoded, "rerank_topk": q_reranked, "readiness_checks": q_gates, "binary_retrieval": q_binary,
     "ir_metrics_bounds": q_bounds, "confusion_matrix": q_confusion, "class_report": q_classes, "macro_average": q_macro, "jaccard_overlap": q_jaccard, "pca_anomalies": q_anomalies, "sentences": q_sentences,
     "stream_versions_latest": q_stream,
 }
@@ -90,7 +141,16 @@ _GUESSED = f"guessed AS (SELECT doc_id, lang, {_GUESS} AS guess, source, n_chars
 _GRADE = "CASE claim_status WHEN 'direct_business' THEN 2 WHEN 'upstream_or_downstream' THEN 1 ELSE 0 END"
 _WORDSET = "list_distinct(regexp_extract_all(" + texts._FOLD + ", '[a-z0-9]+'))"
 
+_COVERED = "(SELECT count(x.t) / count(*)::DOUBLE FROM (SELECT DISTINCT upper(trim(ticker)) AS t FROM companies) c LEFT JOIN (SELECT DISTINCT upper(trim(ticker)) AS t FROM {0}) x ON c.t = x.t)"
 SQL = {
+    "readiness_checks": f"""WITH v AS (SELECT * FROM (VALUES ('document_coverage', {_COVERED.format('documents')}, 0.5::DOUBLE, true), ('valuation_coverage', {_COVERED.format('valuations')}, 0.9, true),
+        ('hashed_documents', (SELECT count(source_sha256) / count(*)::DOUBLE FROM documents), 0.75, true), ('unknown_texts', (SELECT count(*) FILTER (text IS NULL)::DOUBLE FROM documents), 1000, false),
+        ('newest_day_age', (SELECT datediff('day', max(available_at), DATE '2027-01-01')::DOUBLE FROM documents), 365, false)) t("check", value, bound, up))
+        SELECT "check", round(value, 6) AS value, bound, coalesce(CASE WHEN up THEN value >= bound ELSE value <= bound END, false) AS passed FROM v""",
+    "binary_retrieval": f"""WITH {texts._BM25}, f AS (SELECT query_id, doc_id FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, doc_id) <= 10),
+        g AS (SELECT query_id, doc_id FROM production_retrieval_results WHERE claim_status IS NOT NULL GROUP BY query_id, doc_id HAVING max({_GRADE}) > 0),
+        j AS (SELECT coalesce(f.query_id, g.query_id) AS query_id, f.doc_id AS fd, g.doc_id AS gd FROM f FULL JOIN g ON f.query_id = g.query_id AND f.doc_id = g.doc_id)
+        SELECT query_id, count(*) FILTER (fd IS NOT NULL AND gd IS NOT NULL) AS tp, count(*) FILTER (gd IS NULL) AS fp, count(*) FILTER (fd IS NULL) AS fn FROM j GROUP BY query_id""",
     "ir_metrics_bounds": f"""WITH {texts._BM25}, ranked AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, doc_id) AS rank FROM bm QUALIFY rank <= 50),
         g AS (SELECT query_id, doc_id, max({_GRADE}) AS grade FROM production_retrieval_results WHERE claim_status IS NOT NULL GROUP BY query_id, doc_id),
         j AS (SELECT r.*, grade FROM ranked r LEFT JOIN g USING (query_id, doc_id)),

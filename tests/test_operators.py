@@ -268,3 +268,44 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert sorted(tuple(r) for r in upserts.read_latest(spark, str(tmp_path / "state"), key, order, keep).collect()) == want
     upserts.compact(spark, str(tmp_path / "state"), str(tmp_path / "small"), key, order, keep, ["ts"])
     assert sorted(tuple(r) for r in upserts.read_latest(spark, str(tmp_path / "small"), key, order, keep).collect()) == want
+
+
+# -- passages, models, gates --------------------------------------------------
+
+def test_passages_score_once_and_keep_versions(spark):
+    from quernstone.operators import passages
+
+    docs = spark.createDataFrame([(1, "A", "Robot arms ship. Other words here.", 1), (2, "A", "ROBOT  arms ship.", 5), (3, "B", "Robot arms ship.", 2), (4, None, "Robot.", 1), (5, "A", None, 1)], "d bigint, g string, t string, day int")
+    p = passages.passages(docs, "d", "t", "g", "day")
+    rows = p.collect()
+    assert len(rows) == 4 and {r.excerpt for r in rows if r.d == 1} == {"Robot arms ship.", "Other words here."}
+    asked = spark.createDataFrame([(1, "robot")], "q bigint, s string")
+    got = {(r.g, r.place): (r.versions, r.newest, round(r.score, 9)) for r in passages.search(p, "g", "d", "day", asked, "q", "s").collect()}
+    assert got[("A", 1)][:2] == (2, 5) and got[("B", 1)][:2] == (1, 2) and got[("A", 1)][2] == got[("B", 1)][2] and len(got) == 2
+
+
+def test_models(spark):
+    from quernstone.operators import models
+
+    df = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, ""), (4, None)], "k bigint, t string")
+    e = models.encode_distinct(df, "t", models.HashEncoder(16)).collect()
+    assert len(e) == 2 and all(len(r.embedding) == 16 for r in e)
+    assert np.allclose(models.HashEncoder(16).encode(["abc"])[0], next(r.embedding for r in e if sum(x > 0 for x in r.embedding)))
+    c = spark.createDataFrame([(1, "robot", 1, "a robot"), (1, "robot", 2, None), (2, "arm", 1, "arms")], "q bigint, qt string, d bigint, t string")
+    got = {(r.q, r.d): r.rerank_score for r in models.rerank(c, "q", "qt", "d", "t", models.OverlapReranker()).collect()}
+    assert got == {(1, 1): 1.0, (1, 2): 0.0, (2, 1): 1.0}
+
+
+def test_gates_and_beam(spark):
+    from quernstone.operators import gates
+
+    t = lambda v: spark.createDataFrame([(v,)], "v double")
+    got = {r.check: r.passed for r in gates.gates({"a": (t(0.5), "v", ">=", 0.5), "b": (t(2.0), "v", "<=", 1), "c": (t(None), "v", ">=", 0)}).collect()}
+    assert got == {"a": True, "b": False, "c": False}
+    r = random.Random(6)
+    axes = {"x": range(4), "y": range(4), "z": range(3)}
+    for _ in range(20):
+        table = {(a, b, c): r.random() for a in range(4) for b in range(4) for c in range(3)}
+        best = gates.beam(axes, lambda c: (table[(c["x"], c["y"], c["z"])],), width=100)[0]
+        assert best[0][0] == min(table.values())
+        assert gates.beam(axes, lambda c: (table[(c["x"], c["y"], c["z"])],), width=1)[0][0] >= best[0]

@@ -83,3 +83,47 @@ def test_runs_and_exports(spark, tmp_path):
     assert not sinks.is_finished(str(tmp_path))
     sinks.finish(str(tmp_path), {"rows": 3})
     assert sinks.is_finished(str(tmp_path))
+
+
+def test_feeds(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from quernstone.sources import feeds
+
+    row = T.StructType([T.StructField("c", T.StringType())])
+    body = lambda page, pages, total, n: '{"page": %d, "pages": %d, "total": %d, "rows": [%s]}' % (page, pages, total, ", ".join(['{"c": "x"}'] * n))
+    df = spark.createDataFrame([("ok", 1, body(1, 2, 3, 2)), ("ok", 2, body(2, 2, 3, 1)), ("bad", 1, "{"), ("drift", 1, body(1, 2, 3, 2)), ("drift", 2, body(2, 2, 4, 1)), ("short", 1, body(1, 2, 4, 2)), ("other", 1, body(3, 1, 1, 1))], "f string, p int, b string")
+    rows, faults = feeds.paged(df, "f", "p", "b", row)
+    assert rows.where("feed = 'ok'").count() == 3
+    got = {}
+    for r in faults.collect():
+        got.setdefault(r.feed, set()).add(r.fault)
+    assert got == {"bad": {"invalid_json"}, "drift": {"total_drift", "row_count"}, "short": {"missing_pages", "row_count"}, "other": {"page_mismatch"}}
+
+    rules = [(r"^6\d{5}$", ".S", "A", "equity"), (r"^\d{5}$", ".K", "HK", "equity")]
+    s = spark.createDataFrame([("600001", "n"), (" 00700 ", "m"), ("9", "x"), ("600002", " "), ("600003", "a"), ("600003", "b"), (None, "z")], "code string, name string")
+    assert sorted((r.ticker or "", r.reason or "") for r in feeds.securities(s, "code", "name", rules).collect()) == [("", "unknown_code"), ("", "unknown_code"), ("00700.K", ""), ("600001.S", ""), ("600002.S", "no_name"), ("600003.S", "repeated_code"), ("600003.S", "repeated_code")]
+
+    late = int(datetime.datetime(2024, 1, 31, 17, tzinfo=datetime.timezone.utc).timestamp() * 1000)
+    d = spark.createDataFrame([("p", 1, "Annual report 2023", late), ("p", 2, "notice", None), (None, 3, "x", late), ("p", 4, "x", 0)], "prov string, id bigint, title string, at bigint")
+    day = lambda s: F.lit(s).cast("date")
+    got = {r.id: (r.document_id, str(r.available_at), r.source_type, r.reason) for r in feeds.disclosures(d, "prov", "id", "title", "at", day("2024-01-01"), day("2024-12-31"), [("(?i)annual report", "annual_report")]).collect()}
+    assert got[1] == ("p-1", "2024-02-01", "annual_report", None) and [got[i][3] for i in (2, 3, 4)] == ["no_release", "no_identity", "outside_window"]
+
+
+def test_manifest(spark, tmp_path):
+    import hashlib
+
+    from quernstone.sources import feeds
+
+    (tmp_path / "a.txt").write_bytes(b"one\ftwo")
+    (tmp_path / "b.txt").write_bytes(b" ")
+    sha = hashlib.sha256(b"one\ftwo").hexdigest()
+    m = [("t", "2024-01-02", "https://x/y", "s", "a.txt", sha), ("t", "2024-01-02", "https://x/y", "s", "a.txt", "0" * 64), ("t", "2024-1-2", "https://x/y", "s", "a.txt", None), ("t", "2024-01-02", "https://u:p@x/y", "s", "a.txt", None),
+         ("t", "2024-01-02", "https://x/y", "s", "zz.txt", None), (None, "2024-01-02", "https://x/y", "s", "a.txt", None), ("t", "2024-01-02", "https://x/y", "s", "b.txt", None)]
+    got = feeds.manifest_pages(spark, spark.createDataFrame(m, feeds.MANIFEST), pages.text_pages(spark, str(tmp_path))).collect()
+    good = [r for r in got if r.reject_reason is None]
+    assert sorted((r.page_num, r.text) for r in good) == [(1, "one"), (2, "two")] and len({r.document_id for r in good}) == 1
+    assert {r.reject_reason for r in got if r.reject_reason} == {"hash_mismatch", "invalid_available_at", "invalid_source_url", "no_file", "missing_fields", "no_text"}
