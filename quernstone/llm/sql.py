@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+from quernstone.llm.visible import form_sql
+
+
+def _forms(name: str, source: str) -> str:
+    """The form of each row of a source, as a named sub-query; the plan that brings rows together is written anew."""
+    return f"{name} AS (SELECT id, txt, form FROM ({form_sql().replace('FROM batch', f'FROM ({source})')}))"
+
+
 SQL = {
     "p1_found": """
         WITH spans AS (
@@ -24,4 +32,9 @@ SQL = {
               ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND a.piece_no = b.piece_no + 1
             GROUP BY a.result_id HAVING NOT coalesce(bool_or(a.char_start = b.char_end - 80), false))
         SELECT result_id FROM judged WHERE NOT is_span UNION SELECT result_id FROM cut UNION SELECT result_id FROM torn""",
+    "p3_forms": f"WITH {_forms('f', 'SELECT doc_id AS id, text AS txt FROM documents')} SELECT id AS doc_id, form FROM f",
+    "p3_found": f"""WITH {_forms('d', 'SELECT doc_id AS id, text AS txt FROM documents WHERE text IS NOT NULL')}, {_forms('t', 'SELECT theme_row_id AS id, title AS txt FROM theme_documents')},
+        {_forms('c', 'SELECT title_id AS id, title AS txt FROM title_catalog')}
+        SELECT 'documents' AS tbl, a.id AS key_a, b.id AS key_b FROM d a JOIN d b ON a.form = b.form AND a.txt <> b.txt AND a.id < b.id WHERE regexp_matches(a.form, '[^\\s]')
+        UNION ALL SELECT 'theme_documents', c.id, t.id FROM c JOIN t ON c.form = t.form AND c.txt <> t.txt WHERE regexp_matches(c.form, '[^\\s]')""",
 }
