@@ -322,7 +322,9 @@ def failures(parsed: DataFrame, tbl: str) -> DataFrame:
         passed = F.when(F.col("rule") == rule, F.coalesce(checks[rule], F.lit(False))).otherwise(passed)
     # a fault of the whole row takes the place of its cells, so that the text is parsed once
     whole = F.array(F.struct(*[F.lit(None).cast("string").alias(n) for n in ("column_name", "kind", "value")]))
-    cells = parsed.select("row_id", "fault_rank", F.explode(F.when(F.col("fault_rank").isNotNull(), whole).otherwise(F.col("cells"))).alias("cell"))
+    # for a plain explode the optimizer would add a filter on the array below it, and read every text twice
+    listed = F.explode_outer(F.when(F.col("fault_rank").isNotNull(), whole).otherwise(F.col("cells"))).alias("cell")
+    cells = parsed.select("row_id", "fault_rank", listed).where("cell is not null")
     failing = _prepared(cells.select("row_id", "fault_rank", "cell.*")).join(rules, "column_name", "left").where(F.col("fault_rank").isNotNull() | (F.col("rule").isNotNull() & ~passed))
     worst = failing.groupBy("row_id").agg(F.min(F.coalesce("fault_rank", "rank")).alias("rank"))
     reason = F.element_at(F.create_map(*[F.lit(x) for pair in REASONS[tbl].items() for x in pair]), F.col("rank"))
