@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.operators.ranks import group_key, places, unpivot
+from quernstone.session import use_checkpoints
+
 
 def ranking_bounds(rankings: DataFrame, judgments: DataFrame, universe: DataFrame, query: str, item: str, *, k: int, maximum: int, threshold: int = 1) -> DataFrame:
     """Per query, lower and upper bounds of precision, recall, NDCG and MRR at k.
@@ -70,15 +73,18 @@ def macro_mean(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.groupBy(group).agg(strict(F.col(value)).alias("m")).agg(strict(F.col("m")).alias("macro"))
 
 
-def average_rank(df: DataFrame, cohort: Sequence[str], value: str, name: str) -> DataFrame:
-    w = Window.partitionBy(*cohort)
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*cohort, value)) - 1) / 2)
-
-
 def spearman(df: DataFrame, cohort: Sequence[str], a: str, b: str) -> DataFrame:
-    """(cohort, n, rho): Pearson correlation of average ranks over rows with both values."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = average_rank(average_rank(both, cohort, a, "__ra"), cohort, b, "__rb")
+    """(cohort, n, rho): Pearson correlation of average ranks over rows where both values are known.
+
+    Ranks come from counts of values, so that a cohort of any size is spread
+    over many tasks.
+    """
+    use_checkpoints(df.sparkSession)
+    known = F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b)
+    both = df.where(known).select(*cohort, F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b), group_key(cohort).alias("__g")).checkpoint()
+    p = places(unpivot(both, ["__g"], [a, b]), ["__g", "measure"])
+    rank_of = lambda m, name: p.where(F.col("measure") == m).select("__g", F.col("value").alias(m), (F.col("before") + 1 + (F.col("equal") - 1) / 2).alias(name))
+    ranked = both.join(rank_of(a, "__ra"), ["__g", a]).join(rank_of(b, "__rb"), ["__g", b])
     return ranked.groupBy(*cohort).agg(F.count(F.lit(1)).alias("n"), F.corr("__ra", "__rb").alias("rho"))
 
 

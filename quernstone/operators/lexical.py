@@ -148,7 +148,7 @@ def topic_hits(df: DataFrame, doc: str, text: str, topics: dict[str, Sequence[st
             at = F.instr(t, k)
             hits.append(F.struct(F.lit(topic).alias("topic"), F.lit(k).alias("keyword"), (at - 1).alias("position")))
     found = F.filter(F.array(*hits), lambda h: h["position"] >= 0)
-    one = df.select(doc, F.explode(found).alias("h")).select(doc, "h.*")
+    one = df.select(doc, F.explode_outer(found).alias("h")).where("h is not null").select(doc, "h.*")
     return one.groupBy(doc, "topic").agg(F.min(F.struct("position", "keyword")).alias("m")).select(doc, "topic", "m.keyword", "m.position")
 
 

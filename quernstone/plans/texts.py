@@ -32,15 +32,15 @@ def q_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_words(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select(F.explode(tx.words(tx.fold(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return _docs(spark, d).select(F.explode_outer(tx.words(tx.fold(F.col("text")))).alias("word")).where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select(F.explode(tx.bigrams(tx.fold(F.col("text")))).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    return _docs(spark, d).select(F.explode_outer(tx.bigrams(tx.fold(F.col("text")))).alias("pair")).where("pair is not null").groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_chunks(spark: SparkSession, d: str) -> DataFrame:
-    c = _docs(spark, d).select("doc_id", F.explode(tx.fixed_chunks(F.col("text"))).alias("c"))
+    c = _docs(spark, d).select("doc_id", F.explode_outer(tx.fixed_chunks(F.col("text"))).alias("c")).where("c is not null")
     return c.select("doc_id", "c.chunk_no", "c.char_start", F.md5("c.chunk").alias("chunk_md5"))
 
 
