@@ -22,7 +22,7 @@ def _exploded(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode_outer("t").alias("term")).where("term is not null")
 
 
-def _frequency(p: DataFrame) -> DataFrame:
+def document_frequency(p: DataFrame) -> DataFrame:
     """(term, df) of postings. It reads tf, so that it can share the shuffle of the postings themselves."""
     return p.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
@@ -58,7 +58,7 @@ def bm25(df: DataFrame, doc: str, text: str, queries: DataFrame, query: str, que
     sized = df.select(doc, tx.terms(F.col(text)).alias("t")).select(doc, F.coalesce(F.size("t"), F.lit(0)).alias("length"), "t")
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     hits = _exploded(sized, doc, "length").join(wanted, "term", "left_semi").groupBy(doc, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    frequency = _frequency(hits)
+    frequency = document_frequency(hits)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean = F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
@@ -71,7 +71,7 @@ def tfidf(df: DataFrame, doc: str, text: str, *keep: str) -> DataFrame:
     """(doc, kept columns, term, weight): (1 + ln tf) * (ln((1+N)/(1+df)) + 1), each document's weights of norm 1."""
     p = postings(df, doc, text, *keep)
     total = df.agg(F.count(F.lit(1)).alias("n"))
-    frequency = _frequency(p)
+    frequency = document_frequency(p)
     raw = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
     w = p.join(frequency, "term").crossJoin(F.broadcast(total)).select(doc, *keep, "term", raw.alias("w"))
     norm = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
