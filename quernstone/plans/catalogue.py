@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quernstone.plans import delivery, histories, rankings, texts, years
+from quernstone.plans import delivery, filings, histories, rankings, texts, years
 
-_PARTS = [delivery, years, histories, texts, rankings]
+_PARTS = [delivery, filings, years, histories, texts, rankings]
 QUERIES = {name: q for p in _PARTS for name, q in p.QUERIES.items()}
 SQL = {name: s for p in _PARTS for name, s in p.SQL.items()}
