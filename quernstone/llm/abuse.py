@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -243,9 +245,11 @@ def _symbols(text: str, automaton) -> list[tuple[int, int, tuple[str, ...]]]:
 
 def clause_scores(text: str, hits: list[tuple[int, int, tuple[str, ...]]]) -> dict[str, float]:
     """Best weight of each category over the clauses of a revealed text."""
-    hidden = [(a, b) for a, b, kinds in hits if "HARMLESS" in kinds]
+    hidden = sorted((a, b) for a, b, kinds in hits if "HARMLESS" in kinds)
     if hidden:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in hidden)]
+        starts, reach = [a for a, _ in hidden], list(accumulate((b for _, b in hidden), max))
+        covered = lambda h: (i := bisect_right(starts, h[0])) > 0 and reach[i - 1] >= h[1]
+        hits = [h for h in hits if not covered(h)]
     best: dict[str, float] = {}
     if not hits:
         return best
@@ -268,31 +272,49 @@ def _score_clause(text: str, hits: list[tuple[int, int, tuple[str, ...]]], best:
     for a, b, kinds in hits:
         for k in kinds:
             at.setdefault(k, []).append((a, b))
+    denials = sorted(d for _, d in at.get("NEGATION", ()))
+    quoting = "REPORT" in at or "NEGATION" in at
     for category, path, weight in PATHS:
         if best.get(category, 0.0) >= weight or any(s not in at for s in path):
             continue
-        # a path is its first start and its last end
-        spans = [(a, b) for a, b in at[path[0]]]
-        for s in path[1:]:
-            spans = [(a, d) for a, b in spans for c, d in at[s] if b <= c <= b + GAP]
-            if not spans:
+        for a, b in _matches(path, at):
+            reported = _denied(denials, a) or (quoting and _quoted(text, a, b))
+            best[category] = max(best.get(category, 0.0), weight * DAMPING if reported else weight)
+            if not reported:
                 break
-        for a, b in spans:
-            w = weight * DAMPING if _is_reported(text, a, b, at) else weight
-            best[category] = max(best.get(category, 0.0), w)
+
+
+def _matches(path: tuple[str, ...], at: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[int, int]]:
+    """Spans of the passages that follow a path; symbols lie in order, at most GAP apart.
+
+    Symbols are sorted by place, so that a step looks only at what lies in reach.
+    """
+    spans: Iterable[tuple[int, int]] = at[path[0]]
+    for s in path[1:]:
+        spans = _steps(spans, at[s])
+    yield from spans
+
+
+def _steps(spans: Iterable[tuple[int, int]], following: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    for a, b in spans:
+        for i in range(bisect_left(following, (b, 0)), len(following)):
+            c, d = following[i]
+            if c > b + GAP:
+                break
+            yield a, d
 
 
 _OPEN, _CLOSE = "\"“‘«「『", "\"”’»」』"
 
 
-def _is_reported(text: str, a: int, b: int, at: dict[str, list[tuple[int, int]]]) -> bool:
-    """Is the passage a..b denied just before it, or quoted in a clause that reports, forbids or denies?"""
-    if any(a - NEAR <= d <= a for _, d in at.get("NEGATION", ())):
-        return True
-    if "REPORT" not in at and "NEGATION" not in at:
-        return False
-    before, after = text[max(0, a - NEAR) : a], text[b : b + NEAR]
-    return any(c in _OPEN for c in before) and any(c in _CLOSE for c in after)
+def _denied(denials: list[int], a: int) -> bool:
+    """Does a denial end just before the place a?"""
+    i = bisect_left(denials, a - NEAR)
+    return i < len(denials) and denials[i] <= a
+
+
+def _quoted(text: str, a: int, b: int) -> bool:
+    return any(c in _OPEN for c in text[max(0, a - NEAR) : a]) and any(c in _CLOSE for c in text[b : b + NEAR])
 
 
 def score_texts(texts: Sequence[str | None]) -> list[dict[str, float]]:

@@ -53,3 +53,26 @@ def test_labelled_documents(spark, sf):
     stated = [r["min(label)"] == 1 for r in labels]
     assert sum(f and s for f, s in zip(found, stated)) > 0.8 * sum(stated)
     assert sum(f and not s for f, s in zip(found, stated)) < 0.02 * len(labels)
+
+
+def test_very_long_texts_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    got = abuse.score_texts(["you idiot and not a fool you said " * 60_000, "women vermin " * 50_000 + "rodent and vermin control " * 50_000, "a.b.c.d " * 100_000])
+    assert time.perf_counter() - began < 20
+    assert got[0]["insult"] >= abuse.THRESHOLD and got[1]["hate"] >= abuse.THRESHOLD and not got[2]
+
+
+def test_paths_against_brute_force():
+    """Every way of a path through the symbols of a clause, by nested loops."""
+    import random
+
+    r = random.Random(2)
+    for _ in range(200):
+        at = {s: sorted((a, a + r.randint(1, 6)) for a in r.sample(range(200), r.randint(1, 6))) for s in "ABC"}
+        for path in (("A",), ("A", "B"), ("A", "B", "C"), ("A", "A")):
+            want = {(a, b) for a, b in at[path[0]]}
+            for s in path[1:]:
+                want = {(a, d) for a, b in want for c, d in at[s] if b <= c <= b + abuse.GAP}
+            assert set(abuse._matches(path, at)) == want
