@@ -1,7 +1,10 @@
-"""Text helpers built from Spark's own expressions."""
+"""Text helpers built from Spark's own expressions, and one Arrow function for what they lack."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,21 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"(?U)\s+", " "))
 
 
+def normal(text: str) -> str:
+    """NFKC, then full case folding, blanks collapsed and trimmed: full-width letters, ligatures and the like become plain ones."""
+    return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
+
+
+def norm(text: Column) -> Column:
+    """normal() of a column."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else normal(t) for t in texts.to_pylist()], pa.string())
+
+    return run(text)
+
+
 def words(text: Column) -> Column:
     """Runs of a-z and 0-9 of a text in lower case, in order, repeats kept."""
     return F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), F.lit(1))

@@ -284,6 +284,18 @@ def test_passages_score_once_and_keep_versions(spark):
     assert got[("A", 1)][:2] == (2, 5) and got[("B", 1)][:2] == (1, 2) and got[("A", 1)][2] == got[("B", 1)][2] and len(got) == 2
 
 
+def test_passages_read_compatibility_forms(spark):
+    """Full-width letters, ligatures and radicals are words like any others, in texts and in queries."""
+    from quernstone.operators import passages
+
+    docs = spark.createDataFrame([(1, "A", "Efficient ROBOT2 arms."), (2, "A", "E\ufb03cient ＲＯＢＯＴ２ arms."), (3, "B", "\u2f08工智能。"), (4, "B", "人工智能。"), (5, "C", "cafe\u0301 STRASSE."), (6, "C", "caf\u00e9 straße.")], "d bigint, g string, t string").withColumn("day", F.lit(1))
+    p = passages.passages(docs, "d", "t", "g", "day")
+    assert p.select("unit").distinct().count() == 3 and p.count() == 6
+    asked = spark.createDataFrame([(1, "ｒｏｂｏｔ２"), (2, "\u2f08工")], "q bigint, s string")
+    got = {(r.q, r.g): r.versions for r in passages.search(p, "g", "d", "day", asked, "q", "s").collect()}
+    assert got == {(1, "A"): 2, (2, "B"): 2}
+
+
 def test_models(spark):
     from quernstone.operators import models
 
