@@ -18,9 +18,10 @@ from quernstone.operators import lexical
 
 
 def passages(df: DataFrame, doc: str, text: str, issuer: str, *keep: str) -> DataFrame:
-    """(doc, issuer, kept columns, char_start, char_end, excerpt, norm, unit): the sentences of every document.
+    """(doc, issuer, kept columns, char_start, char_end, excerpt, norm, unit): the sentences of every document, long ones in windows.
 
-    norm is the excerpt in normal form, unit a digest of the issuer and it.
+    Units serve all queries alike, so that windows go in strides and not around
+    the hits of one. norm is the excerpt in normal form, unit a digest of the issuer and it.
     Documents without an issuer or text have none. Excerpts are cut where the
     text is read, without a shuffle.
     """
@@ -33,7 +34,7 @@ def passages(df: DataFrame, doc: str, text: str, issuer: str, *keep: str) -> Dat
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 texts = part.column(part.num_columns - 1).to_pylist()
-                found = [(i, x, y) for i, t in enumerate(texts) for x, y in sentences.spans(t)]
+                found = [(i, x, y) for i, t in enumerate(texts) for a, e in sentences.spans(t) for x, y in sentences.windows(a, e, []) if not t[x:y].isspace()]
                 owner = pa.array([i for i, _, _ in found], pa.int64())
                 cut = [texts[i][x:y] for i, x, y in found]
                 yield pa.RecordBatch.from_arrays([

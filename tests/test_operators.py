@@ -296,6 +296,17 @@ def test_passages_read_compatibility_forms(spark):
     assert got == {(1, "A"): 2, (2, "B"): 2}
 
 
+def test_passages_cut_long_sentences(spark):
+    from quernstone.operators import passages
+
+    long = "x" + " robot" * 200
+    docs = spark.createDataFrame([(1, "A", f"Short one. {long}. End.", 1)], "d bigint, g string, t string, day int")
+    rows = sorted(passages.passages(docs, "d", "t", "g", "day").collect(), key=lambda r: r.char_start)
+    text = f"Short one. {long}. End."
+    assert [(r.char_start, r.char_end) for r in rows] == [(0, 10), (11, 491), (491, 971), (971, 1213), (1214, 1218)]
+    assert all(r.excerpt == text[r.char_start : r.char_end] for r in rows)
+
+
 def test_models(spark):
     from quernstone.operators import models
 
