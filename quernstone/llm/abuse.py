@@ -219,7 +219,7 @@ def transducer():
                         kinds.append(symbol)
     for word, kinds in written.items():
         full.add_word(word, (word, tuple(kinds)))
-        if any(k in CONTENT for k in kinds) and len(word) > 1:
+        if any(k in CONTENT for k in kinds):
             content.add_word(word, (word, tuple(kinds)))
     content.make_automaton()
     full.make_automaton()

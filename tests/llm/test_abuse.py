@@ -29,6 +29,18 @@ def test_fine(text):
     assert max(abuse.score_texts([text])[0].values(), default=0) < abuse.THRESHOLD, abuse.reveal([text])
 
 
+@pytest.mark.parametrize(("text", "category"), [("你是猪", "insult"), ("我要揍你", "threat")])
+def test_words_of_one_character(text, category):
+    assert abuse.score_texts([text])[0].get(category, 0) >= abuse.THRESHOLD
+
+
+def test_every_path_needs_content():
+    """So that a text without content symbols can be skipped."""
+    assert all(s == "MASKED" or any(x in abuse.CONTENT for x in path) for _, path, _ in abuse.PATHS for s in path)
+    content, full, _, _ = abuse.transducer()
+    assert {w for w, (_, kinds) in full.items() if set(kinds) & set(abuse.CONTENT)} == set(content.keys())
+
+
 def test_batches_do_not_matter():
     together = abuse.score_texts(BAD + [None] + FINE)
     assert together == [abuse.score_texts([t])[0] for t in BAD + [None] + FINE]
