@@ -140,15 +140,26 @@ def near_duplicates(df: DataFrame, doc: str, text: str, group: str, order: Seque
 
 
 def topic_hits(df: DataFrame, doc: str, text: str, topics: dict[str, Sequence[str]]) -> DataFrame:
-    """(doc, topic, keyword, position): the first place of each topic's first keyword in a folded text, zero-based."""
-    t = tx.fold(F.col(text))
-    hits = []
-    for topic, keywords in topics.items():
-        for k in keywords:
-            at = F.instr(t, k)
-            hits.append(F.struct(F.lit(topic).alias("topic"), F.lit(k).alias("keyword"), (at - 1).alias("position")))
-    found = F.filter(F.array(*hits), lambda h: h["position"] >= 0)
-    one = df.select(doc, F.explode_outer(found).alias("h")).where("h is not null").select(doc, "h.*")
+    """(doc, topic, keyword, position): the first place of each topic's first keyword in a folded text, zero-based.
+
+    A keyword in ASCII counts only where no letter a-z or digit touches it.
+    """
+
+    def found(t: Column) -> Column:
+        hits = []
+        for topic, keywords in topics.items():
+            for k in keywords:
+                at = F.instr(t, k)
+                if k.isascii():
+                    guarded = rf"(?<![a-z0-9])\Q{k}\E(?![a-z0-9])"
+                    # what comes before the first match, counted in characters; only texts that hold the keyword are searched
+                    at = F.when((at > 0) & t.rlike(guarded), F.length(F.split(t, guarded, 2)[0]) + 1).otherwise(0)
+                hits.append(F.struct(F.lit(topic).alias("topic"), F.lit(k).alias("keyword"), (at - 1).alias("position")))
+        return F.filter(F.array(*hits), lambda h: h["position"] >= 0)
+
+    # as the variable of a lambda, a folded text is made once and not for every keyword
+    all_ = F.flatten(F.transform(F.array(tx.fold(F.col(text))), found))
+    one = df.select(doc, F.explode_outer(all_).alias("h")).where("h is not null").select(doc, "h.*")
     return one.groupBy(doc, "topic").agg(F.min(F.struct("position", "keyword")).alias("m")).select(doc, "topic", "m.keyword", "m.position")
 
 

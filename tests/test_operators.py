@@ -270,6 +270,14 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert sorted(tuple(r) for r in upserts.read_latest(spark, str(tmp_path / "small"), key, order, keep).collect()) == want
 
 
+def test_topic_keywords_are_whole_words(spark):
+    rows = [(1, "Headcounts rose; the headcount is 9."), (2, "impairments only"), (3, "\U0001f600 xheadcount Headcount"), (4, "研发headcount团队"), (5, "headcount"), (6, "überkapazitäten"), (7, None), (8, "headcount2 a.b headcount.")]
+    df = spark.createDataFrame(rows, "d bigint, t string")
+    topics = {"people": ["headcount"], "risk": ["impairment"], "capacity": ["kapazität"], "dots": ["a.b", "axb"]}
+    got = sorted(tuple(r) for r in lexical.topic_hits(df, "d", "t", topics).select("d", "topic", "keyword", "position").collect())
+    assert got == [(1, "people", "headcount", 21), (3, "people", "headcount", 13), (4, "people", "headcount", 2), (5, "people", "headcount", 0), (6, "capacity", "kapazität", 4), (8, "dots", "a.b", 11), (8, "people", "headcount", 15)]
+
+
 # -- passages, models, gates --------------------------------------------------
 
 def test_passages_score_once_and_keep_versions(spark):
