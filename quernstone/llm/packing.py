@@ -10,7 +10,8 @@ so no block can grow hot, and every block holds a fair draw of all sizes. Only
 largest item left, enumerate the fillings of the rest of its container that no
 other filling dominates, and branch on them; branches whose waste shows that
 they cannot beat the best solution so far, which is a best-fit solution at
-first, are pruned. At most the last container of a block stays open, so the
+first, are pruned. Half of the nodes go to likely fillings alone, the rest to
+all of them; a search of all that ends before its nodes do is a proof. At most the last container of a block stays open, so the
 waste of cutting into blocks is under one container in a thousand.
 """
 
@@ -32,7 +33,7 @@ CAPACITY = 2048
 BLOCK_ITEMS = 4096
 #: Nodes after which the search of a block keeps the best solution found; every item is in it.
 NODES = 20_000
-#: Fillings that a node branches on, best first.
+#: Fillings that a node tries first, the least wasteful ones.
 BRANCHES = 4
 
 
@@ -112,8 +113,8 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return False
 
 
-def fillings(left: _Left, room: int, most: int = BRANCHES) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room, the least wasteful first; a perfect one alone, as soon as it is met."""
+def likely(left: _Left, room: int, most: int = BRANCHES) -> list[tuple[int, ...]]:
+    """Some good fillings of the room, the least wasteful first; a perfect one alone, as soon as it is met."""
     found: list[tuple[int, tuple[int, ...]]] = []
     i = left.at_most(room)
     if i < 0:
@@ -170,12 +171,75 @@ def fillings(left: _Left, room: int, most: int = BRANCHES) -> list[tuple[int, ..
     return kept
 
 
+def undominated(left: _Left, filling: tuple[int, ...], slack: int) -> bool:
+    """Can no item outside take the place of some inside (or of none), at least as large as they are together?
+
+    Of long fillings only small subsets are tried: one that is dominated may
+    pass then and be tried in vain, but none that is undominated is lost.
+    """
+    order, count = left.order, left.count
+    n = len(filling)
+    for k in range(n + 1 if n <= 6 else 3 if n <= 40 else 2):
+        for inside in set(combinations(filling, k)):
+            t = sum(inside)
+            for i in range(bisect_right(order, t - 1), bisect_right(order, t + slack)):
+                x = order[i]
+                if not (k == 1 and x == t) and filling.count(x) < count[x]:
+                    return False
+    return True
+
+
+def fillings(left: _Left, room: int, limit: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated fillings of the room that waste at most `limit`, likely ones first; None for each one passed over.
+
+    It may be continued whenever `left` is as it was at first.
+    """
+    first = likely(left, room)
+    yield from first
+    if first[0] in ((), (room,)):  # nothing fits, or one item dominates all
+        return
+    order, count = left.order, left.count
+
+    # depth first, sizes never rising; each level has the next size to try, and whether one fitted
+    items: list[int] = []
+    used: dict[int, int] = {}
+    rest, levels = room, [[left.at_most(room), False]]
+    while levels:
+        level = levels[-1]
+        k = level[0]
+        while k >= 0 and used.get(order[k], 0) >= count[order[k]]:
+            k -= 1
+        if k >= 0:
+            c = order[k]
+            level[:] = k - 1, True
+            items.append(c)
+            used[c] = used.get(c, 0) + 1
+            rest -= c
+            levels.append([min(k, left.at_most(rest)), False])
+            continue
+        if not level[1]:
+            f = tuple(items)
+            yield f if rest <= limit and f not in first and undominated(left, f, rest) else None
+        levels.pop()
+        if items:
+            c = items.pop()
+            used[c] -= 1
+            rest += c
+
+
 def pack(sizes: list[int], capacity: int = CAPACITY, *, nodes: int = NODES) -> list[list[int]]:
     """Containers as lists of sizes; sizes lie between 1 and the capacity."""
     best = best_fit(sizes, capacity)
     floor = lower_bound(np.array(sizes, np.int64), capacity) if sizes else 0
+    best, used = _search(sizes, capacity, best, floor, nodes // 2, whole=False)
+    return _search(sizes, capacity, best, floor, nodes - used, whole=True)[0]
+
+
+def _search(sizes: list[int], capacity: int, best: list[list[int]], floor: int, nodes: int, *, whole: bool) -> tuple[list[list[int]], int]:
+    """The best solution found, and the nodes that took: by all fillings, or by likely ones only."""
+    given = nodes
     if len(best) == floor:
-        return best
+        return best, 0
     total = sum(sizes)
     left = _Left(sizes)
     #: Each level: the container's largest item, the fillings left to try, what is in it now, its waste.
@@ -188,14 +252,15 @@ def pack(sizes: list[int], capacity: int = CAPACITY, *, nodes: int = NODES) -> l
             if len(path) < len(best):
                 best = [[p[0], *p[2]] for p in path]
                 if len(best) == floor:
-                    return best
+                    return best, given - nodes
             deeper = False
         else:
             deeper = waste <= allowed and len(path) + 1 < len(best)
         if deeper:
             big = left.order[-1]
             left.take(big)
-            path.append([big, fillings(left, capacity - big)[::-1], None, 0])
+            room = capacity - big
+            path.append([big, fillings(left, room, allowed - waste) if whole else iter(likely(left, room)), None, 0])
         # step back to the last level that has a filling left
         while path:
             level = path[-1]
@@ -204,8 +269,14 @@ def pack(sizes: list[int], capacity: int = CAPACITY, *, nodes: int = NODES) -> l
                     left.put(s)
                 waste -= level[3]
                 level[2] = None
-            if level[1]:
-                level[2] = level[1].pop()
+            f = next(level[1], False)
+            while f is None and nodes > 0:
+                nodes -= 1
+                f = next(level[1], False)
+            if f is None:
+                break
+            if f is not False:
+                level[2] = f
                 level[3] = capacity - level[0] - sum(level[2])
                 waste += level[3]
                 for s in level[2]:
@@ -215,7 +286,7 @@ def pack(sizes: list[int], capacity: int = CAPACITY, *, nodes: int = NODES) -> l
             path.pop()
         if not path:
             break
-    return best
+    return best, given - nodes
 
 
 # -- DataFrames --------------------------------------------------------------

@@ -58,6 +58,36 @@ def test_branching_beats_best_fit():
     assert better > 0
 
 
+@pytest.mark.parametrize("seed", [144, 192, 267, 359, 444])
+def test_finds_what_likely_fillings_miss(seed):
+    r = random.Random(seed)
+    sizes = [r.randint(15, 60) for _ in range(r.randint(9, 16))]
+    bins = packing.pack(sizes, 100)
+    assert Counter(itertools.chain(*bins)) == Counter(sizes) and max(map(sum, bins)) <= 100
+    assert len(bins) == fewest(sizes, 100)
+
+
+def fits_inside(b, a):
+    """Can the items of b be put inside those of a? Every way, by brute force."""
+    return not b or any(b[0] <= x and fits_inside(b[1:], (*a[:i], x - b[0], *a[i + 1 :])) for i, x in enumerate(a))
+
+
+def test_fillings_leave_out_only_dominated_ones():
+    r = random.Random(5)
+    for _ in range(200):
+        sizes = sorted((r.randint(1, 20) for _ in range(r.randint(1, 9))), reverse=True)
+        room = r.randint(1, 40)
+        got = [f for f in packing.fillings(packing._Left(sizes), room, room) if f is not None]
+        every = {c for k in range(1, len(sizes) + 1) for c in itertools.combinations(sizes, k) if sum(c) <= room}
+        assert set(got) - {()} <= every and len(got) == len(set(got))
+        assert all(any(fits_inside(f, g) for g in got) for f in every)
+
+
+def test_many_small_items_in_a_room():
+    left = packing._Left([1] * 3000 + [2] * 5)
+    assert all(sum(f) <= 2000 for f in itertools.islice(packing.fillings(left, 2000, 2000), 20) if f)
+
+
 def test_dominance():
     assert packing.dominates((10,), (5, 5)) and packing.dominates((6, 5), (6, 4)) and packing.dominates((8, 3), (4, 4, 3))
     assert not packing.dominates((5, 5), (10,)) and not packing.dominates((6, 3), (5, 4))
