@@ -1,77 +1,34 @@
-"""Scores of abusive, hateful or sexual passages, by a weighted pattern grammar.
-
-Two finite-state stages are composed.
-
-1. A lexical transducer reads the text and writes symbols: insults, hostile
-   turns, threats, harm, groups, what is said of them, sexual turns, second and
-   first persons, negations and reports. It is an Aho-Corasick automaton over
-   the word lists of llm.lexicon, behind rewriting steps that undo disguises
-   (look-alike letters, digits for letters, separators inside words, drawn-out
-   letters, masked words).
-2. A clause transducer reads the symbols of one clause and adds weights along
-   its paths: an insult needs someone it is aimed at or a hostile turn, a group
-   needs a statement that takes its worth from it, and so on. A denial before
-   it, or quotation marks in a clause that reports, lower its weight. A clause's score is its best path,
-   a text's score that of its best clause.
-
-Whole texts are read. Most texts hold no symbol that could begin a path, and
-cost one pass of the automaton.
+"""Scores of abusive, hateful or sexual passages, by a weighted finite-state grammar.
+
+1. Rewriting steps undo disguises (look-alike letters, digits for letters,
+   separators inside words, drawn-out letters, masked words).
+2. A lexical transducer, an Aho-Corasick automaton over the inflected words of
+   llm.lexicon, turns the sentences around a hit into strings of symbols.
+3. llm.grammar scores the clauses of these strings: transducers of insult,
+   threat, hatred and sex over targets, composed with those of negation and
+   reported speech. A text's score is that of its best clause.
+
+Whole texts are read. Most texts hold no word without which no path can match,
+and cost one pass of the automaton.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm import lexicon, visible
+from quernstone.llm import grammar, lexicon, visible
+from quernstone.llm.grammar import CATEGORIES
 
 #: Score from which a text counts as unwelcome.
 THRESHOLD = 0.5
-#: Characters that may lie between two symbols of one path.
-GAP = 48
-#: What remains of a weight that is denied or reported.
-DAMPING = 0.35
-#: How far a denial or a quotation mark may stand from the passage it governs.
-NEAR = 16
-
-#: Paths: (category, symbols in order, weight).
-PATHS = (
-    ("insult", ("ABUSE",), 0.8),
-    ("insult", ("SLUR",), 0.7),
-    ("insult", ("MASKED",), 0.6),
-    ("insult", ("YOU", "INSULT"), 0.7),
-    ("insult", ("INSULT", "YOU"), 0.6),
-    ("insult", ("HOSTILE", "INSULT"), 0.7),
-    ("insult", ("INSULT", "HOSTILE"), 0.6),
-    ("insult", ("YOU", "SLUR"), 0.95),
-    ("insult", ("HOSTILE", "SLUR"), 0.95),
-    ("insult", ("GROUP", "INSULT"), 0.6),
-    ("threat", ("THREAT",), 0.85),
-    ("threat", ("SELF", "HARM", "YOU"), 0.8),
-    ("threat", ("SELF", "YOU", "HARM"), 0.8),
-    ("threat", ("HARM", "YOU", "SELF"), 0.7),
-    ("hate", ("GROUP", "DEHUM"), 0.85),
-    ("hate", ("DEHUM", "GROUP"), 0.7),
-    ("hate", ("GROUP", "EXPEL"), 0.8),
-    ("hate", ("EXPEL", "GROUP"), 0.8),
-    ("hate", ("GROUP", "SLUR"), 0.9),
-    ("sexual", ("SEX",), 0.85),
-    ("sexual", ("SEXUAL", "SEXUAL"), 0.6),
-    ("sexual", ("SELF", "SEXUAL", "YOU"), 0.6),
-)
-CATEGORIES = ("insult", "threat", "hate", "sexual")
-#: Symbols that can begin or make a path on their own account; the others only join.
-CONTENT = ("INSULT", "SLUR", "ABUSE", "THREAT", "HARM", "DEHUM", "EXPEL", "SEX", "SEXUAL")
-_LISTS = {name: getattr(lexicon, name) for name in ("YOU", "SELF", "INSULT", "SLUR", "HOSTILE", "ABUSE", "THREAT", "HARM", "GROUP", "DEHUM", "EXPEL", "SEX", "SEXUAL", "REPORT", "NEGATION", "HARMLESS")}
 
 # -- rewriting ---------------------------------------------------------------
 
@@ -93,26 +50,27 @@ def plain(text: str) -> str:
 _LEET = str.maketrans("0134579@$!|€+", "oieastgasiiet")
 _LEET_CHARS = "0-9@$!|€+"
 _LETTER = "a-zß-ɏа-ӿ"
-_MIXED = re.compile(rf"(?<![{_LETTER}{_LEET_CHARS}])(?=[{_LEET_CHARS}]*[{_LETTER}])(?=[{_LETTER}]*[{_LEET_CHARS}])[{_LETTER}{_LEET_CHARS}]{{3,40}}(?![{_LETTER}{_LEET_CHARS}])")
+_MIXED = re.compile(rf"(?<![{_LETTER}{_LEET_CHARS}])(?=[{_LEET_CHARS}]*[{_LETTER}])(?=[{_LETTER}]*[{_LEET_CHARS}])[{_LETTER}{_LEET_CHARS}]{{2,}}(?![{_LETTER}{_LEET_CHARS}])")
 _SPACED = re.compile(rf"(?<![{_LETTER}])[{_LETTER}]([ ._\-*~·])[{_LETTER}](?:(?:\1|\1 \1|\1{{3}})[{_LETTER}])+(?:\1[{_LETTER}]{{2}}|s)?(?![{_LETTER}])")
 _CJK = "一-鿿㐀-䶿"
 _TORN = re.compile(rf"[ ._\-*~·]{{1,2}}(?=[{_CJK}])")
 _DRAWN = re.compile(r"([^\W\d_])\1{2,}")
 _MASKED = re.compile(rf"(?<![{_LETTER}*])([{_LETTER}])(\*{{2,}})([{_LETTER}]{{1,3}})(?![{_LETTER}*])")
+_BLANKS = re.compile(r" {2,}")
 _SEPARATOR = re.compile(r"[ ._\-*~·]+")
 
 
 def _unleet(m: re.Match) -> str:
+    """A word with letters for its digits and signs: the reading that the lexicon knows, else that with i for 1, ! and |."""
     word = m.group()
-    if sum(c.isalpha() for c in word) < 2:
-        return word
-    tail = word[len(word.rstrip("!")) :]
     core = word.rstrip("!")
     read = core.translate(_LEET)
-    # 1, ! and | stand for i or for l
-    if any(c in "1!|" for c in core):
-        read += " " + "".join("l" if c in "1!|" else c for c in core).translate(_LEET)
-    return read + tail
+    known = lexical().known
+    if read not in known and any(c in "1!|" for c in core):
+        other = "".join("l" if c in "1!|" else c for c in core).translate(_LEET)
+        if other in known:
+            read = other
+    return word if sum(c.isalpha() for c in word) < 2 and read not in known else read + word[len(core) :]
 
 
 def _joined(m: re.Match) -> str:
@@ -137,7 +95,7 @@ _STARRED = re.compile(rf"([{_CJK}])\*{{1,2}}([{_CJK}])")
 
 def _unstar(m: re.Match) -> str:
     """A Chinese word with its middle masked, written out; other stars are separators."""
-    return transducer()[3].get((m.group(1), m.group(2)), m.group())
+    return lexical().middles.get((m.group(1), m.group(2)), m.group())
 
 
 #: Latin letters that look like Cyrillic capitals, inside a word that has Cyrillic ones.
@@ -178,6 +136,8 @@ def reveal(texts: Sequence[str]) -> list[str]:
             t = _MIXED.sub(_unleet, t)
         if mask & 4:
             t = _DRAWN.sub(r"\1", t)
+        if "  " in t:
+            t = _BLANKS.sub(" ", t)
         if "*" in t:
             t = _STARRED.sub(_unstar, t)
         out[i] = _mend(t)
@@ -190,142 +150,153 @@ def _is_cjk(word: str) -> bool:
     return any("㐀" <= c <= "鿿" for c in word)
 
 
-@lru_cache(1)
-def transducer():
-    """(automaton of content symbols, automaton of all symbols, ends of words that may be masked, Chinese words by their ends)."""
-    import ahocorasick
-
-    traditional = str.maketrans(lexicon.SIMPLIFIED, lexicon.TRADITIONAL)
-    content, full, masked, middles = ahocorasick.Automaton(), ahocorasick.Automaton(), set(), {}
-    written: dict[str, list[str]] = {}
-    for symbol, block in _LISTS.items():
-        for raw in lexicon.surfaces(block):
-            variants = {raw, raw.translate(traditional)} if _is_cjk(raw) else {raw}
-            if symbol in ("SLUR", "INSULT") and _is_cjk(raw) and len(raw) > 1:
+class Lexical:
+    """The automata over all words, and over those without which no path matches."""
+
+    def __init__(self) -> None:
+        import ahocorasick
+
+        traditional = str.maketrans(lexicon.SIMPLIFIED, lexicon.TRADITIONAL)
+        kinds: dict[str, set[str]] = {}
+        #: Ends of words that may be masked by stars, and Chinese words by theirs.
+        self.masked: set[tuple[str, int, str]] = set()
+        self.middles: dict[tuple[str, str], str] = {}
+        for raw, names in grammar.classes().items():
+            cjk, insulting = _is_cjk(raw), bool(names & {"SLUR", "INSULT"})
+            variants = {raw, raw.translate(traditional)} if cjk else {raw}
+            if cjk and len(raw) > 1 and names & {"SLUR", "INSULT", "EXPLICIT"}:
                 # one character spelled by its sound
-                variants |= {raw[:i] + lexicon.SOUNDS[c] + raw[i + 1 :] for i, c in enumerate(raw) if c in lexicon.SOUNDS}
+                for spelling in (lexicon.SOUNDS, lexicon.DIGITS):
+                    variants |= {raw[:i] + spelling[c] + raw[i + 1 :] for i, c in enumerate(raw) if c in spelling}
             for v in variants:
                 word = plain(v)
                 forms = {word}
-                if symbol in ("SLUR", "INSULT"):
-                    forms.add(_DRAWN.sub(r"\1", re.sub(r"([^\W\d_])\1", r"\1", word)) if not _is_cjk(word) else word)
-                    if " " not in word and not _is_cjk(word) and 4 <= len(word):
-                        masked.add((word[0], len(word), word[-1]))
-                    elif len(word) == 3 and _is_cjk(word):
-                        middles.setdefault((word[0], word[2]), word)
+                if insulting:
+                    if not cjk:
+                        forms.add(_DRAWN.sub(r"\1", re.sub(r"([^\W\d_])\1", r"\1", word)))
+                        if " " not in word and len(word) >= 4:
+                            self.masked.add((word[0], len(word), word[-1]))
+                    elif len(word) == 3:
+                        self.middles.setdefault((word[0], word[2]), word)
                 for f in forms:
-                    kinds = written.setdefault(f, [])
-                    if symbol not in kinds:
-                        kinds.append(symbol)
-    for word, kinds in written.items():
-        full.add_word(word, (word, tuple(kinds)))
-        if any(k in CONTENT for k in kinds):
-            content.add_word(word, (word, tuple(kinds)))
-    content.make_automaton()
-    full.make_automaton()
-    return content, full, masked, middles
-
-
-_STOP = re.compile(r"[。！？；!?;\n…\U0001f300-\U0001faff]|\.(?=\s|$)|(?<=[%\d]) (?=[a-zа-яß-ɏ]{3})")
-
-
-def _symbols(text: str, automaton) -> list[tuple[int, int, tuple[str, ...]]]:
-    """(start, end, symbols) of whole words, longest first where they overlap as the same symbol."""
-    hits = []
-    n = len(text)
-    for last, (word, kinds) in automaton.iter(text):
-        a, b = last - len(word) + 1, last + 1
-        if not ("㐀" <= word[0] <= "鿿") and a and text[a - 1].isalnum() and not "㐀" <= text[a - 1] <= "鿿":
-            continue
-        if not ("㐀" <= word[-1] <= "鿿") and b < n and text[b].isalnum() and not "㐀" <= text[b] <= "鿿":
-            continue
-        hits.append((a, b, kinds))
-    return hits
-
-
-def clause_scores(text: str, hits: list[tuple[int, int, tuple[str, ...]]]) -> dict[str, float]:
-    """Best weight of each category over the clauses of a revealed text."""
-    hidden = sorted((a, b) for a, b, kinds in hits if "HARMLESS" in kinds)
-    if hidden:
-        starts, reach = [a for a, _ in hidden], list(accumulate((b for _, b in hidden), max))
-        covered = lambda h: (i := bisect_right(starts, h[0])) > 0 and reach[i - 1] >= h[1]
-        hits = [h for h in hits if not covered(h)]
-    best: dict[str, float] = {}
-    if not hits:
-        return best
-    hits.sort(key=lambda h: (h[0], -h[1]))
-    stops = [m.start() for m in _STOP.finditer(text)]
-    clause, lo = [], 0
-    for h in [*hits, None]:
-        while lo < len(stops) and h is not None and stops[lo] < h[0]:
-            lo += 1
-        if h is None or (clause and clause[-1][1] != lo):
-            _score_clause(text, [c[0] for c in clause], best)
-            clause = []
-        if h is not None:
-            clause.append((h, lo))
-    return best
-
-
-def _score_clause(text: str, hits: list[tuple[int, int, tuple[str, ...]]], best: dict[str, float]) -> None:
-    at: dict[str, list[tuple[int, int]]] = {}
-    for a, b, kinds in hits:
-        for k in kinds:
-            at.setdefault(k, []).append((a, b))
-    denials = sorted(d for _, d in at.get("NEGATION", ()))
-    quoting = "REPORT" in at or "NEGATION" in at
-    for category, path, weight in PATHS:
-        if best.get(category, 0.0) >= weight or any(s not in at for s in path):
-            continue
-        for a, b in _matches(path, at):
-            reported = _denied(denials, a) or (quoting and _quoted(text, a, b))
-            best[category] = max(best.get(category, 0.0), weight * DAMPING if reported else weight)
-            if not reported:
-                break
-
-
-def _matches(path: tuple[str, ...], at: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[int, int]]:
-    """Spans of the passages that follow a path; symbols lie in order, at most GAP apart.
-
-    Symbols are sorted by place, so that a step looks only at what lies in reach.
-    """
-    spans: Iterable[tuple[int, int]] = at[path[0]]
-    for s in path[1:]:
-        spans = _steps(spans, at[s])
-    yield from spans
+                    kinds.setdefault(f, set()).update(names)
+        # what a harmless compound covers is no word of its own
+        sets = {w: frozenset() if "HARMLESS" in k else frozenset(k) for w, k in kinds.items()}
+        self.symbols = grammar.Symbols({k for k in sets.values() if k} | {frozenset({"MASKED", "INSULT"})})
+        self.grammar = grammar.Grammar(self.symbols)
+        self.mask_symbol = self.symbols.of[frozenset({"MASKED", "INSULT"})]
+        self.full, self.content = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for w, k in sets.items():
+            self.full.add_word(w, (len(w), self.symbols.of[k] if k else grammar.OTHER, not _edge(w[0]), not _edge(w[-1])))
+            if k & grammar.CONTENT or not k:
+                self.content.add_word(w, (len(w), bool(k), not _edge(w[0]), not _edge(w[-1])))
+        #: Single words, to choose among the readings of a disguised one.
+        self.known = {w for w, k in sets.items() if k and " " not in w}
+        self.full.make_automaton()
+        self.content.make_automaton()
+
+    @staticmethod
+    def words(text: str, automaton, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, int, object]]:
+        """(start, end, value) of the words of a list within a text."""
+        n = len(text)
+        for last, (length, value, front, back) in automaton.iter(text, lo, n if hi is None else hi):
+            a, b = last - length + 1, last + 1
+            if front and a and _joins(text[a - 1]) or back and b < n and _joins(text[b]):
+                continue
+            yield a, b, value
+
+    def hits(self, text: str) -> list[int]:
+        """Places of the words without which no path matches, harmless compounds taken out."""
+        found, hidden = [], []
+        for a, b, value in self.words(text, self.content):
+            if value:
+                found.append((a, b))
+            else:
+                hidden.append((a, b))
+        if hidden and found:
+            cover = np.zeros(len(text) + 1, np.int32)
+            np.add.at(cover, [a for a, _ in hidden], 1)
+            np.add.at(cover, [b for _, b in hidden], -1)
+            bare = np.concatenate([[0], np.cumsum(np.cumsum(cover) == 0)])
+            found = [(a, b) for a, b in found if bare[b] > bare[a]]
+        return [a for a, _ in found]
+
+    def symbol_string(self, text: str, lo: int, hi: int) -> str:
+        """The symbols of a stretch of text: at each place the longest word of the lists, then what is left between."""
+        longest: dict[int, tuple[int, str]] = {}
+        for a, b, c in self.words(text, self.full, lo, hi):
+            if b > longest.get(a, (0, ""))[0]:
+                longest[a] = b, c
+        if "**" in text[lo:hi]:
+            for m in _MASKED.finditer(text, lo, hi):
+                if _could_be(m, self.masked):
+                    longest[m.start()] = m.end(), self.mask_symbol
+        out, at = [], lo
+        for a in sorted(longest):
+            if a >= at:
+                _between(text, at, a, out)
+                at, c = longest[a]
+                out.append(c)
+        _between(text, at, hi, out)
+        return "".join(out)
+
+
+def _edge(c: str) -> bool:
+    """May this end of a word touch letters? So of Chinese ones and of signs."""
+    return "㐀" <= c <= "鿿" or not c.isalnum()
+
+
+def _joins(c: str) -> bool:
+    return c.isalnum() and not "㐀" <= c <= "鿿"
+
+
+_PIECES = re.compile(r"[㐀-鿿]{1,2}|[^\W_㐀-鿿]+|[,，、]|[:：]|[\"“”„«»「」『』‹›‘]| [—–-] |—|[()（）\[\]]|" + "'")
+_PIECE_SIGN = {**dict.fromkeys(",，、()（）[]", grammar.COMMA), **dict.fromkeys(":：", grammar.COLON), **dict.fromkeys("\"“”„«»「」『』‹›‘", grammar.QUOTE)}
+
+
+def _between(text: str, a: int, b: int, out: list[str]) -> None:
+    """Symbols of what is on no list: words as they come, Chinese characters by twos, signs."""
+    for m in _PIECES.finditer(text, a, b):
+        c = m.group()
+        if c != "'":
+            out.append(_PIECE_SIGN.get(c, grammar.OTHER))
 
 
-def _steps(spans: Iterable[tuple[int, int]], following: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    for a, b in spans:
-        for i in range(bisect_left(following, (b, 0)), len(following)):
-            c, d = following[i]
-            if c > b + GAP:
-                break
-            yield a, d
-
-
-_OPEN, _CLOSE = "\"“‘«「『", "\"”’»」』"
+@lru_cache(1)
+def lexical() -> Lexical:
+    return Lexical()
 
 
-def _denied(denials: list[int], a: int) -> bool:
-    """Does a denial end just before the place a?"""
-    i = bisect_left(denials, a - NEAR)
-    return i < len(denials) and denials[i] <= a
+_STOP = re.compile(r"[。！？；!?;\n…\U0001f300-\U0001faff]+|\.(?=\s|$)|(?<=[%\d]) (?=[a-zа-яß-ɏ]{3})")
 
 
-def _quoted(text: str, a: int, b: int) -> bool:
-    return any(c in _OPEN for c in text[max(0, a - NEAR) : a]) and any(c in _CLOSE for c in text[b : b + NEAR])
+def text_scores(text: str, hits: Sequence[int], lex: Lexical) -> dict[str, float]:
+    """Best weight of each category over the sentences of a revealed text that hold a hit, each with its neighbours."""
+    ends = [m.end() for m in _STOP.finditer(text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    which = np.unique(np.searchsorted(ends, np.asarray(hits), side="right"))
+    wanted = np.unique(np.clip(np.concatenate([which - 1, which, which + 1]), 0, len(ends) - 1))
+    parts, last = [], None
+    for i in wanted.tolist():
+        if last is not None:
+            parts.append(grammar.STOP if i == last + 1 else grammar.BREAK)
+        parts.append(lex.symbol_string(text, ends[i - 1] if i else 0, ends[i]))
+        last = i
+    return lex.grammar.scores("".join(parts))
 
 
 def score_texts(texts: Sequence[str | None]) -> list[dict[str, float]]:
     """Weights by category of each text; none for null and empty texts."""
-    content, full, masked, _ = transducer()
+    lex = lexical()
     shown = [i for i, t in enumerate(texts) if t]
     out: list[dict[str, float]] = [{} for _ in texts]
     for i, text in zip(shown, reveal([texts[i] for i in shown])):
-        hidden_words = [(m.start(), m.end(), ("MASKED",)) for m in _MASKED.finditer(text) if _could_be(m, masked)] if "**" in text else []
-        if hidden_words or next(iter(content.iter(text)), None) is not None:
-            out[i] = clause_scores(text, _symbols(text, full) + hidden_words)
+        hits = lex.hits(text)
+        if "**" in text:
+            hits += [m.start() for m in _MASKED.finditer(text) if _could_be(m, lex.masked)]
+        if hits:
+            out[i] = text_scores(text, hits, lex)
     return out
 
 

@@ -1,6 +1,9 @@
+import os
+import random
+
 import pytest
 
-from quernstone.llm import abuse
+from quernstone.llm import abuse, grammar
 
 BAD = [
     "you are a complete idiot and everyone here knows it", "what a bunch of lying d.i.c.k.h.e.a.ds running this place", "shut up, you pathetic p-i-e-c-e- -o-f- -s-h-i-t.", "only a $cumb@g would defend this board",
@@ -34,11 +37,88 @@ def test_words_of_one_character(text, category):
     assert abuse.score_texts([text])[0].get(category, 0) >= abuse.THRESHOLD
 
 
+def _rates(name):
+    """(precision, recall) over a file of labelled sentences."""
+    path = os.path.join(os.path.dirname(__file__), name)
+    rows = [line.rstrip("\n").split("|", 3) for line in open(path, encoding="utf-8") if not line.startswith("#")]
+    hits = [max(w.values(), default=0) >= abuse.THRESHOLD for w in abuse.score_texts([r[3] for r in rows])]
+    true = sum(h for h, r in zip(hits, rows) if r[0] == "1")
+    return true / max(1, sum(hits)), true / sum(r[0] == "1" for r in rows)
+
+
+@pytest.mark.parametrize(
+    ("name", "precision", "recall"),
+    # the first three were in view while the grammar was made or widened; the last was run once
+    [("heldout_sentences.txt", 0.97, 0.97), ("fresh_sentences.txt", 0.95, 0.9), ("second_sentences.txt", 0.95, 0.9), ("blind_sentences.txt", 0.9, 0.65)],
+)
+def test_sentences(name, precision, recall):
+    got = _rates(name)
+    assert got[0] >= precision and got[1] >= recall, got
+
+
+@pytest.mark.parametrize(("plain", "governed"), [
+    ("You are an idiot.", "You are not an idiot."), ("I will kill you.", "He was jailed for saying that I will kill you."), ("Foreigners are vermin.", "It is wrong to say that foreigners are vermin."),
+    ("Du bist ein Idiot.", "Niemand sagt, dass du ein Idiot bist."), ("Tu es un crétin.", "Personne ne dit que tu es un crétin."), ("Ты идиот.", "Никто не говорит, что ты идиот."), ("你是白痴。", "没有人说你是白痴。"),
+    ("You are an idiot.", "“You are an idiot,” said the villain in the film."),
+])
+def test_denials_and_reports_lower_the_weight(plain, governed):
+    best = lambda t: max(abuse.score_texts([t])[0].values(), default=0)
+    assert best(plain) >= abuse.THRESHOLD > best(governed)
+
+
+def test_a_denial_ends_with_its_clause():
+    for t in ("I do not agree, you idiot.", "That is not true but you are an idiot.", "She never came. You are an idiot."):
+        assert abuse.score_texts([t])[0]["insult"] >= abuse.THRESHOLD
+
+
 def test_every_path_needs_content():
-    """So that a text without content symbols can be skipped."""
-    assert all(s == "MASKED" or any(x in abuse.CONTENT for x in path) for _, path, _ in abuse.PATHS for s in path)
-    content, full, _, _ = abuse.transducer()
-    assert {w for w, (_, kinds) in full.items() if set(kinds) & set(abuse.CONTENT)} == set(content.keys())
+    """So that a text without content words can be skipped."""
+    for _, _, path in grammar.PATHS:
+        assert any(n <= grammar.CONTENT for n in grammar.needs(path)), path
+    known = {n for names in grammar.classes().values() for n in names} | {"MASKED"}
+    assert {n for _, _, path in grammar.PATHS for names in grammar.needs(path) for n in names} <= known | {"COMMA"}
+
+
+def _walk(items, s, at, sym):
+    """Can the rest of a path be walked from a place? By trying every way."""
+    if not items:
+        return True
+    item, rest = items[0], items[1:]
+    kinds = [sym.kinds.get(c, frozenset({c})) for c in s]
+    if item[0] in "~-,." and item[1:].isdigit():
+        bad = {"~": set(".|,:") | {"BUT"}, "-": set(".|,:") | {"LINK", "CALL", "BUT"}, ",": set(".|"), ".": {"|"}}[item[0]]
+        for n in range(int(item[1:]) + 1):
+            if at + n > len(s) or any(kinds[i] & bad for i in range(at, at + n)):
+                return False
+            if _walk(rest, s, at + n, sym):
+                return True
+        return False
+    if item == "START":
+        return (at == 0 or bool(kinds[at - 1] & set(".|,:q"))) and _walk(rest, s, at, sym)
+    names, mark = set(item.rstrip("?+").split("|")), item[len(item.rstrip("?+")) :]
+    if "END" in names and (at == len(s) or kinds[at] & (set(".|,:q") | {"BUT"})) and _walk(rest, s, at, sym):
+        return True
+    names = {"," if n == "COMMA" else n for n in names - {"END"}}
+    if mark == "?" and _walk(rest, s, at, sym):
+        return True
+    for n in range(1, 4 if mark == "+" else 2):
+        if at + n > len(s) or not kinds[at + n - 1] & names:
+            return False
+        if _walk(rest, s, at + n, sym):
+            return True
+    return False
+
+
+def test_paths_against_brute_force():
+    r = random.Random(3)
+    sym = abuse.lexical().symbols
+    for _, _, path in grammar.PATHS:
+        items = path.rstrip("* ").split()
+        pattern = sym.compile(path.rstrip("* "))
+        near = [c for n in grammar.needs(path) for c in sym.chars("|".join(n))[:4]] + list(",.oq:") + list(sym.chars("BUT")[:1]) + list(sym.chars("LINK")[:1])
+        for _ in range(60):
+            s = "".join(r.choice(near) for _ in range(r.randint(1, 9)))
+            assert (pattern.search(s) is not None) == any(_walk(items, s, at, sym) for at in range(len(s) + 1)), (path, s)
 
 
 def test_batches_do_not_matter():
@@ -74,17 +154,3 @@ def test_very_long_texts_take_linear_time():
     got = abuse.score_texts(["you idiot and not a fool you said " * 60_000, "women vermin " * 50_000 + "rodent and vermin control " * 50_000, "a.b.c.d " * 100_000])
     assert time.perf_counter() - began < 20
     assert got[0]["insult"] >= abuse.THRESHOLD and got[1]["hate"] >= abuse.THRESHOLD and not got[2]
-
-
-def test_paths_against_brute_force():
-    """Every way of a path through the symbols of a clause, by nested loops."""
-    import random
-
-    r = random.Random(2)
-    for _ in range(200):
-        at = {s: sorted((a, a + r.randint(1, 6)) for a in r.sample(range(200), r.randint(1, 6))) for s in "ABC"}
-        for path in (("A",), ("A", "B"), ("A", "B", "C"), ("A", "A")):
-            want = {(a, b) for a, b in at[path[0]]}
-            for s in path[1:]:
-                want = {(a, d) for a, b in want for c, d in at[s] if b <= c <= b + abuse.GAP}
-            assert set(abuse._matches(path, at)) == want
