@@ -7,12 +7,14 @@ is packed like any other item.
 Rows are dealt in turn into blocks of about BLOCK_ITEMS, whatever their keys,
 so no block can grow hot, and every block holds a fair draw of all sizes. Only
 (id, size) pairs travel. Each block is packed by bin completion: take the
-largest item left, enumerate the fillings of the rest of its container that no
-other filling dominates, and branch on them; branches whose waste shows that
-they cannot beat the best solution so far, which is a best-fit solution at
-first, are pruned. Half of the nodes go to likely fillings alone, the rest to
-all of them; a search of all that ends before its nodes do is a proof. At most the last container of a block stays open, so the
-waste of cutting into blocks is under one container in a thousand.
+largest item left, enumerate lazily the fillings of the rest of its container
+that no other filling dominates, the least wasteful first, and branch on them;
+branches whose waste shows that they cannot beat the best solution so far,
+which is a best-fit solution at first, are pruned. The search of a block ends
+with a proof, or after NODES steps with the best solution met; `gaps` tells for
+each block how far that is from a lower bound. At most the last container of a
+block stays open, so the waste of cutting into blocks is under one container
+in a thousand.
 """
 
 from __future__ import annotations
@@ -27,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import encode
+from quernstone.session import shuffle_partitions
 
 CAPACITY = 2048
 #: Items that are packed together.
 BLOCK_ITEMS = 4096
-#: Nodes after which the search of a block keeps the best solution found; every item is in it.
-NODES = 20_000
-#: Fillings that a node tries first, the least wasteful ones.
-BRANCHES = 4
+#: Steps after which the search of a block keeps the best solution found; every item is in it.
+NODES = 60_000
+#: From so few items on, each node is also finished by best fit.
+FINISH = 256
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -53,6 +56,11 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
         free = (half - n1) * capacity - int(total[half] - total[n1])
         need = int(total[end] - total[half]) - free
         best = max(best, half + max(0, -(-need // capacity)))
+    # of items above 1/(k+1) of the capacity at most k share a container: dual feasible functions
+    for k in range(1, 21):
+        whole = (k + 1) * s // capacity
+        worth = np.where((k + 1) * s % capacity == 0, s * k, whole * capacity)
+        best = max(best, -(-int(worth.sum()) // (k * capacity)))
     return max(best, half)
 
 
@@ -73,194 +81,201 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class _Left:
-    """The sizes not yet packed, with their counts."""
+    """The items not yet packed: how many of each size."""
 
-    def __init__(self, sizes: list[int]):
-        self.count: dict[int, int] = {}
-        for s in sizes:
-            self.count[s] = self.count.get(s, 0) + 1
-        self.order = sorted(self.count)
+    def __init__(self, sizes: list[int], capacity: int = 0):
+        self.many = np.bincount(np.array(sizes, np.int64), minlength=capacity + 1).astype(np.int32)
+        self.items = len(sizes)
 
     def take(self, s: int) -> None:
-        if self.count[s] == 1:
-            del self.count[s]
-            del self.order[bisect_right(self.order, s) - 1]
-        else:
-            self.count[s] -= 1
+        self.many[s] -= 1
+        self.items -= 1
 
     def put(self, s: int) -> None:
-        if s in self.count:
-            self.count[s] += 1
-        else:
-            self.count[s] = 1
-            insort(self.order, s)
+        self.many[s] += 1
+        self.items += 1
+
+    def largest(self, at_most: int | None = None) -> int:
+        """The largest size left, within at_most; 0 if there is none."""
+        found = np.flatnonzero(self.many if at_most is None else self.many[: at_most + 1])
+        return int(found[-1]) if len(found) else 0
 
-    def at_most(self, x: int) -> int:
-        """Index of the largest size within x, -1 if there is none."""
-        return bisect_right(self.order, x) - 1
+    def sizes(self) -> list[int]:
+        return np.repeat(np.arange(len(self.many)), self.many).tolist()
 
 
 def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Can the items of b be put inside the items of a? Then b need not be tried."""
-    if len(a) == 1:
-        return sum(b) <= a[0]
-    if len(a) == len(b):
-        return all(x >= y for x, y in zip(a, b))
-    for k in range(1, len(b)):
-        for inside in combinations(range(len(b)), k):
-            if sum(b[i] for i in inside) <= a[0] and dominates(a[1:], tuple(b[i] for i in range(len(b)) if i not in inside)):
-                return True
-    return False
-
-
-def likely(left: _Left, room: int, most: int = BRANCHES) -> list[tuple[int, ...]]:
-    """Some good fillings of the room, the least wasteful first; a perfect one alone, as soon as it is met."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-    i = left.at_most(room)
-    if i < 0:
-        return [()]
-    order, count = left.order, left.count
-    if order[i] == room:
-        return [(room,)]
-    found.append((room - order[i], (order[i],)))
-    least = order[0]
-    # pairs: a larger item and the largest one that fits beside it
-    for k in range(i, -1, -1):
-        a = order[k]
-        if 2 * a < room - found[0][0] and a * 2 < room - least:
-            break
-        j = left.at_most(min(room - a, a))
-        if j >= 0 and order[j] == a and count[a] == 1:
-            j -= 1
-        if j < 0:
-            continue
-        b = order[j]
-        if a + b == room:
-            return [(a, b)]
-        found.append((room - a - b, (a, b)))
-    # triples and more: below each of the largest items, filled up greedily
-    for k in range(i, max(-1, i - 24), -1):
-        a = order[k]
-        used = {a: 1}
-        rest, items = room - a, [a]
-        while rest >= least:
-            j = left.at_most(rest)
-            while j >= 0 and used.get(order[j], 0) >= count[order[j]]:
-                j -= 1
-            if j < 0:
-                break
-            # a smaller middle item may leave room for a perfect last one
-            for m in range(j, max(-1, j - 12), -1):
-                c = order[m]
-                if used.get(c, 0) < count[c]:
-                    last = rest - c
-                    if last == 0 or (last in count and used.get(last, 0) + (last == c) < count[last]):
-                        return [tuple(sorted([*items, c, *([last] if last else [])], reverse=True))]
-            c = order[j]
-            items.append(c)
-            used[c] = used.get(c, 0) + 1
-            rest -= c
-        found.append((rest, tuple(sorted(items, reverse=True))))
-    found.sort(key=lambda f: (f[0], [-x for x in f[1]]))
-    kept: list[tuple[int, ...]] = []
-    for _, f in found:
-        if f not in kept and not any(dominates(g, f) for g in kept):
-            kept.append(f)
-            if len(kept) == most:
-                break
-    return kept
+    """Can the items of b be put inside those of a, several into one, some left empty? Then b need not be tried."""
+    items = sorted(b, reverse=True)
+
+    def place(i: int, room: list[int]) -> bool:
+        if i == len(items):
+            return True
+        tried = set()
+        for j, r in enumerate(room):
+            if items[i] <= r and r not in tried:
+                tried.add(r)
+                room[j] -= items[i]
+                if place(i + 1, room):
+                    return True
+                room[j] += items[i]
+        return False
+
+    return sum(b) <= sum(a) and place(0, list(a))
 
 
 def undominated(left: _Left, filling: tuple[int, ...], slack: int) -> bool:
-    """Can no item outside take the place of some inside (or of none), at least as large as they are together?
+    """Is there no item outside that may take the place of some inside (or of none), as large as they are together or larger?
 
-    Of long fillings only small subsets are tried: one that is dominated may
-    pass then and be tried in vain, but none that is undominated is lost.
+    If another filling dominates this one, some single exchange of that kind
+    leads towards it. Of long fillings only small subsets are tried: one that
+    is dominated may pass then and be tried in vain, but none that is
+    undominated is lost.
     """
-    order, count = left.order, left.count
-    n = len(filling)
-    for k in range(n + 1 if n <= 6 else 3 if n <= 40 else 2):
-        for inside in set(combinations(filling, k)):
-            t = sum(inside)
-            for i in range(bisect_right(order, t - 1), bisect_right(order, t + slack)):
-                x = order[i]
-                if not (k == 1 and x == t) and filling.count(x) < count[x]:
-                    return False
+    many, n = left.many, len(filling)
+    outside = many.copy()
+    for s in filling:
+        outside[s] -= 1
+    for k in range(n + 1 if n <= 8 else 3 if n <= 40 else 2):
+        for t in {sum(inside) for inside in combinations(filling, k)}:
+            if outside[t + (k < 2) : t + slack + 1].any():
+                return False
     return True
 
 
-def fillings(left: _Left, room: int, limit: int) -> Iterator[tuple[int, ...] | None]:
-    """All undominated fillings of the room that waste at most `limit`, likely ones first; None for each one passed over.
+def exact(left: _Left, target: int, k: int, even: bool = False) -> Iterator[tuple[int, ...] | None]:
+    """All sets of k items of the given sum, those of unlike sizes first, or of even ones; None for each step that finds nothing.
 
-    It may be continued whenever `left` is as it was at first.
+    Lazy: it may be continued whenever `left` is as it was at first.
     """
-    first = likely(left, room)
-    yield from first
-    if first[0] in ((), (room,)):  # nothing fits, or one item dominates all
+    many = left.many
+    top = len(many) - 1
+    if k == 1:
+        yield (target,) if target <= top and many[target] else None
         return
-    order, count = left.order, left.count
-
-    # depth first, sizes never rising; each level has the next size to try, and whether one fitted
+    least = int(np.argmax(many > 0))
     items: list[int] = []
-    used: dict[int, int] = {}
-    rest, levels = room, [[left.at_most(room), False]]
-    while levels:
-        level = levels[-1]
-        k = level[0]
-        while k >= 0 and used.get(order[k], 0) >= count[order[k]]:
-            k -= 1
-        if k >= 0:
-            c = order[k]
-            level[:] = k - 1, True
-            items.append(c)
-            used[c] = used.get(c, 0) + 1
-            rest -= c
-            levels.append([min(k, left.at_most(rest)), False])
+    # each level: the sizes it may still take, falling, and the place among them
+    levels: list[list] = []
+    used = np.zeros_like(many)
+    rest, most = target, min(target, top)
+    while True:
+        r = k - len(items)
+        if r == 2:
+            low, high = max(-(-rest // 2), rest - top), min(most, rest - least)
+            found = False
+            if low <= high:
+                free = many - used if items else many
+                pairs = np.flatnonzero((free[low : high + 1] > 0) & (free[rest - high : rest - low + 1][::-1] > 0)) + low
+                for a in (pairs if even else pairs[::-1]).tolist():
+                    b = rest - a
+                    if a != b or free[a] > 1:
+                        found = True
+                        yield (*items, a, b)
+            if not found:
+                yield None
+        else:
+            # the first of r falling sizes is at least their mean, and leaves room for the others
+            low, high = -(-rest // r), min(most, rest - (r - 1) * least)
+            choices = (np.flatnonzero((many - used)[low : high + 1] > 0) + low).tolist() if low <= high else []
+            if not even:
+                choices.reverse()
+            levels.append([choices, 0])
+        while levels:
+            level = levels[-1]
+            if len(items) == len(levels):  # this level's choice is done with
+                c = items.pop()
+                used[c] -= 1
+                rest += c
+            if level[1] < len(level[0]):
+                c = level[0][level[1]]
+                level[1] += 1
+                items.append(c)
+                used[c] += 1
+                rest -= c
+                most = c
+                break
+            levels.pop()
+            yield None
+        else:
+            return
+
+
+def reachable(left: _Left, room: int) -> int:
+    """Bit x is set if some of the items have the sum x, for x up to room."""
+    bits, mask = 1, (1 << (room + 1)) - 1
+    for s in np.flatnonzero(left.many[: room + 1]).tolist():
+        for _ in range(min(int(left.many[s]), room // s)):
+            bits |= (bits << s) & mask
+    return bits
+
+
+def fillings(left: _Left, room: int, limit: int, even: bool = False) -> Iterator[tuple[int, ...] | None]:
+    """All undominated fillings of the room that waste at most `limit`, the least wasteful first; None for each one passed over.
+
+    It may be continued whenever `left` is as it was at first.
+    """
+    least = int(np.argmax(left.many > 0)) if left.items else room + 1
+    if least > room:
+        yield ()
+        return
+    if room < len(left.many) and left.many[room]:  # one item that fills the room dominates all
+        yield (room,)
+        return
+    sums = reachable(left, room)
+    for waste in range(min(limit, room - least) + 1):
+        target = room - waste
+        if not sums >> target & 1:
             continue
-        if not level[1]:
-            f = tuple(items)
-            yield f if rest <= limit and f not in first and undominated(left, f, rest) else None
-        levels.pop()
-        if items:
-            c = items.pop()
-            used[c] -= 1
-            rest += c
+        for k in range(1, min(target // least, left.items) + 1):
+            for f in exact(left, target, k, even):
+                yield f if f is not None and undominated(left, f, waste) else None
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY, *, nodes: int = NODES) -> list[list[int]]:
-    """Containers as lists of sizes; sizes lie between 1 and the capacity."""
+    """Containers as lists of sizes; sizes lie between 1 and the capacity.
+
+    Branch and bound from a best-fit incumbent, in two orders of the fillings,
+    each with half of the nodes. Where these end before the search does, the
+    result is the best solution met, and no proof.
+    """
     best = best_fit(sizes, capacity)
     floor = lower_bound(np.array(sizes, np.int64), capacity) if sizes else 0
-    best, used = _search(sizes, capacity, best, floor, nodes // 2, whole=False)
-    return _search(sizes, capacity, best, floor, nodes - used, whole=True)[0]
+    for even in (False, True):
+        if len(best) > floor:
+            best, proven = _search(sizes, capacity, best, floor, nodes // 2, even)
+            if proven:
+                break
+    return best
 
 
-def _search(sizes: list[int], capacity: int, best: list[list[int]], floor: int, nodes: int, *, whole: bool) -> tuple[list[list[int]], int]:
-    """The best solution found, and the nodes that took: by all fillings, or by likely ones only."""
-    given = nodes
-    if len(best) == floor:
-        return best, 0
+def _search(sizes: list[int], capacity: int, best: list[list[int]], floor: int, nodes: int, even: bool) -> tuple[list[list[int]], bool]:
+    """The best solution met from an incumbent on, and whether the search ended before its nodes."""
     total = sum(sizes)
-    left = _Left(sizes)
+    left = _Left(sizes, capacity)
     #: Each level: the container's largest item, the fillings left to try, what is in it now, its waste.
     path: list[list] = []
     waste = 0
-    while nodes > 0:
-        nodes -= 1
+    while True:
         allowed = (len(best) - 1) * capacity - total
-        if not left.order:
+        deeper = False
+        if not left.items:
             if len(path) < len(best):
                 best = [[p[0], *p[2]] for p in path]
-                if len(best) == floor:
-                    return best, given - nodes
-            deeper = False
-        else:
-            deeper = waste <= allowed and len(path) + 1 < len(best)
+        elif waste <= allowed and len(path) + 1 < len(best):
+            deeper = True
+            if left.items <= FINISH or nodes <= 0:
+                rest = best_fit(left.sizes(), capacity)
+                if len(path) + len(rest) < len(best):
+                    best = [[p[0], *p[2]] for p in path] + rest
+                    allowed = (len(best) - 1) * capacity - total
+                    deeper = waste <= allowed and len(path) + 1 < len(best)
+        if len(best) == floor or nodes <= 0:
+            return best, len(best) == floor
         if deeper:
-            big = left.order[-1]
+            big = left.largest()
             left.take(big)
-            room = capacity - big
-            path.append([big, fillings(left, room, allowed - waste) if whole else iter(likely(left, room)), None, 0])
+            path.append([big, fillings(left, capacity - big, allowed - waste, even), None, 0])
         # step back to the last level that has a filling left
         while path:
             level = path[-1]
@@ -270,23 +285,23 @@ def _search(sizes: list[int], capacity: int, best: list[list[int]], floor: int,
                 waste -= level[3]
                 level[2] = None
             f = next(level[1], False)
+            nodes -= 1
             while f is None and nodes > 0:
                 nodes -= 1
                 f = next(level[1], False)
-            if f is None:
-                break
+            if f is None:  # out of nodes: finish from here
+                f = ()
             if f is not False:
                 level[2] = f
-                level[3] = capacity - level[0] - sum(level[2])
+                level[3] = capacity - level[0] - sum(f)
                 waste += level[3]
-                for s in level[2]:
+                for s in f:
                     left.take(s)
                 break
             left.put(level[0])
             path.pop()
         if not path:
-            break
-    return best, given - nodes
+            return best, True
 
 
 # -- DataFrames --------------------------------------------------------------
@@ -330,7 +345,24 @@ def pack_texts(df: DataFrame, id_column: str, text_column: str, *, capacity: int
     def run(table: pa.Table) -> pa.Table:
         return _pack_block(table, id_column, capacity)
 
-    return sized(df, id_column, text_column, blocks, folder=folder).groupBy("block").applyInArrow(run, f"`{id_column}` {id_type}, {CONTAINERS}")
+    # the blocks are small but take time: an explicit number of partitions keeps them from being joined into a few tasks
+    tasks = min(4 * blocks, max(4 * shuffle_partitions(df.sparkSession), blocks // 16))
+    return sized(df, id_column, text_column, blocks, folder=folder).repartition(tasks, "block").groupBy("block").applyInArrow(run, f"`{id_column}` {id_type}, {CONTAINERS}")
+
+
+def gaps(packed: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
+    """(block, items, containers, bound, gap): containers of each block, the fewest that any packing needs, and the difference.
+
+    Pieces count as items; texts without tokens do not.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        size, container = table["n_tokens"].to_numpy(), table["container_id"].to_numpy()
+        used, bound = len(np.unique(container)), lower_bound(size, capacity)
+        return pa.table({"block": table["block"][:1], "items": pa.array([len(size)], pa.int64()), **{n: pa.array([v], pa.int64()) for n, v in (("containers", used), ("bound", bound), ("gap", used - bound))}})
+
+    rows = packed.where("n_tokens > 0").select(F.shiftright("container_id", 24).alias("block"), "container_id", "n_tokens")
+    return rows.groupBy("block").applyInArrow(run, "block bigint, items bigint, containers bigint, bound bigint, gap bigint")
 
 
 def _pack_block(table: pa.Table, id_column: str, capacity: int) -> pa.Table:

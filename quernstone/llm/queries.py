@@ -38,6 +38,10 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p7_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return packing.gaps(p7_containers(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return abuse.score_column(table(spark, d, "documents"), "doc_id", "text").where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
 
@@ -52,5 +56,5 @@ def p8_source_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (p1_found, p1_pieces, p3_found, p3_forms, p6_ids, p7_containers, p8_found, p8_scores, p8_source_rates)
+    for q in (p1_found, p1_pieces, p3_found, p3_forms, p6_ids, p7_containers, p7_gaps, p8_found, p8_scores, p8_source_rates)
 }

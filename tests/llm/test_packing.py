@@ -93,6 +93,42 @@ def test_dominance():
     assert not packing.dominates((5, 5), (10,)) and not packing.dominates((6, 3), (5, 4))
 
 
+def test_dominance_against_brute_force():
+    r = random.Random(8)
+    for _ in range(3000):
+        a, b = (tuple(sorted((r.randint(1, 9) for _ in range(r.randint(1, 4))), reverse=True)) for _ in range(2))
+        assert packing.dominates(a, b) == fits_inside(b, a), (a, b)
+    assert packing.dominates((5, 3), (5,)) and packing.dominates((6, 1), (3, 3))
+
+
+def test_exact_sums():
+    r = random.Random(4)
+    for even in (False, True):
+        for _ in range(300):
+            sizes = sorted((r.randint(1, 12) for _ in range(r.randint(1, 9))), reverse=True)
+            target, k = r.randint(1, 30), r.randint(1, 5)
+            got = [f for f in packing.exact(packing._Left(sizes), target, k, even) if f is not None]
+            assert len(got) == len(set(got)) and set(got) == {c for c in itertools.combinations(sizes, k) if sum(c) == target}
+
+
+@pytest.mark.parametrize(("lo", "hi", "gap"), [(1, 2048, 3), (300, 1023, 12), (600, 1400, 16), (200, 800, 4)])
+def test_stated_gaps(lo, hi, gap):
+    r = random.Random(1)
+    sizes = [r.randint(lo, hi) for _ in range(4096)]
+    assert len(packing.pack(sizes)) - packing.lower_bound(np.array(sizes), 2048) <= gap
+
+
+def test_gaps_and_partitions(spark):
+    df = spark.range(900).selectExpr("id as doc_id", "repeat('word ', cast(id % 300 as int)) as text")
+    packed = packing.pack_texts(df, "doc_id", "text", block_items=100)
+    rows = packing.gaps(packed).collect()
+    assert len(rows) == 9 and all(0 <= g.gap == g.containers - g.bound <= 1 for g in rows)
+    assert sum(g.containers for g in rows) == packed.where("n_tokens > 0").select("container_id").distinct().count()
+    assert packing.gaps(packed.limit(0)).count() == 0
+    # no task packs all blocks
+    assert packed.rdd.getNumPartitions() >= 9
+
+
 def test_frames(spark):
     r = random.Random(9)
     rows = [(i, " ".join(["word"] * r.choice([0, 1, 5, 300, 900, 1500, 2048, 2049, 7000]))) for i in range(80)] + [(900, None), (901, ""), (5, "again"), (5, "again")]
