@@ -7,8 +7,8 @@ again bottom-up. There are two kinds of cut:
 
 * between two pieces of the tokenizer's splitting pattern, where the ids of both
   sides simply follow each other;
-* inside a long unsplit run of one kind of character (a line of letters or of
-  digits that the pattern takes as one piece). Ids then may merge across the
+* inside a long unsplit run of one kind of character (letters, digits, marks or
+  blanks that the pattern takes as one piece). Ids then may merge across the
   cut, so a window of tokens around it is encoded again, and grown until its
   first token is the one the left side has there and its last token the one the
   right side has there. In a byte-pair encoding every pair of neighbours decides
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,25 +104,44 @@ def _between(text: str, lo: int, hi: int, middle: int) -> int | None:
     return None
 
 
+# Of each kind of run that the pattern takes as one piece: a stretch of it, what ends it, and the same backwards.
+_LETTERS, _DIGITS, _MARKS, _BLANKS = (
+    (regex.compile(one + "{16}"), regex.compile(other), regex.compile("(?r)" + other))
+    for one, other in (
+        (r"\p{L}", r"\P{L}"), (r"\p{N}", r"\P{N}"), (r"[^\s\p{L}\p{N}\x1c-\x1f\x85]", r"[\s\p{L}\p{N}\x1c-\x1f\x85]"),
+        (r"[ \t\n\r\u00a0\u3000]", r"[^ \t\n\r\u00a0\u3000]"),
+    )
+)
+
+
 def _inside(text: str, lo: int, hi: int, middle: int) -> tuple[int, int, int] | None:
-    """(place, start of the run, end of the run) inside a run of letters or of digits, else None.
+    """(place, start of the piece, end of the piece) inside a run of letters, digits, marks or blanks, else None.
 
-    Eight characters of the run stand before the place, so that no contraction reaches it.
+    Eight characters of the run stand on either side of the place, so that
+    neither a contraction nor the blank that goes with the next word reaches it.
     """
-    kind = _kind(text[middle])
-    if kind not in "LN" or middle - 8 <= lo or any(_kind(text[i]) != kind for i in range(middle - 8, middle)):
+    if middle - 8 < lo:
         return None
-    a, b = middle - 8, middle
-    while a > lo and _kind(text[a - 1]) == kind:
-        a -= 1
-    if a > lo and text[a - 1] == " ":
-        a -= 1
-    elif a > lo and text[a - 1] == "'":
-        # a contraction may own the first letters; up to here both sides may differ
-        a = min(middle - 4, a + 2)
-    while b < hi and _kind(text[b]) == kind:
-        b += 1
-    return middle, a, b
+    for run in (_LETTERS, _DIGITS, _MARKS, _BLANKS):
+        stretch, after, before = run
+        if not stretch.match(text, middle - 8, hi):
+            continue
+        m = before.search(text, lo, middle)
+        a = m.end() if m else lo
+        m = after.search(text, middle, hi)
+        b = m.start() if m else hi
+        if run is _BLANKS:
+            # the last blank before a word is not of the piece; at the start or the end of a part both sides may differ
+            return (middle, a, b - 1) if m else (middle, a, b)
+        if a > lo and text[a - 1] == " ":
+            a -= 1
+        elif a > lo and text[a - 1] == "'" and run is _LETTERS:
+            # a contraction may own the first letters; up to here both sides may differ
+            a = min(middle - 4, a + 2)
+        if run is _MARKS and text[middle] == "'":
+            return None
+        return middle, a, b
+    return None
 
 
 def tree(text: str, start: int = 0, end: int | None = None, *, leaf: int = LEAF_CHARS) -> Node:

@@ -69,11 +69,11 @@ def strengths(c: np.ndarray) -> np.ndarray:
 class StrongestCut:
     """Sparse table: level k holds, at i, the best key of the 2**k positions from i on."""
 
-    _SHIFT = np.uint32(28)
+    _SHIFT = np.uint64(48)
 
     def __init__(self, strength: np.ndarray, widest: int):
         """strength: of the cut before position i + 1; widest: the longest window asked for."""
-        key = (strength.astype(np.uint32) << self._SHIFT) | np.arange(1, len(strength) + 1, dtype=np.uint32)
+        key = (strength.astype(np.uint64) << self._SHIFT) | np.arange(1, len(strength) + 1, dtype=np.uint64)
         self.levels = [key]
         span = 1
         while 2 * span <= min(widest, len(key)):
@@ -87,13 +87,13 @@ class StrongestCut:
         An empty window has strength 0 and position 0.
         """
         width = last - first + 1
-        best = np.zeros(len(first), np.uint32)
+        best = np.zeros(len(first), np.uint64)
         level = np.frexp(np.maximum(width, 1).astype(float))[1] - 1
         for k in np.unique(level[width > 0]):
             on = np.flatnonzero((width > 0) & (level == k))
             t = self.levels[k]
             best[on] = np.maximum(t[first[on] - 1], t[last[on] - (1 << int(k))])
-        return best >> self._SHIFT, (best & np.uint32((1 << 28) - 1)).astype(np.int64)
+        return best >> self._SHIFT, (best & np.uint64((1 << 48) - 1)).astype(np.int64)
 
 
 @dataclass
@@ -170,11 +170,9 @@ def holds_natural_cut(spans: Sequence[str], *, least: int = LEAST) -> np.ndarray
 
 def ends_naturally(spans: Sequence[str], following: Sequence[str]) -> np.ndarray:
     """For each span and the character after it ('' at the end of the text): is the span's end a natural boundary?"""
-    out = np.zeros(len(spans), bool)
-    for i, (s, f) in enumerate(zip(spans, following)):
-        if s:
-            out[i] = strengths(code_points(s[-2:] + f))[len(s[-2:]) - 1] >= NATURAL if f or s[-1] not in ".!?" else False
-    return out
+    last = code_points("".join(s[-1:] or "\0" for s in spans))
+    after = code_points("".join(f[:1] or "\0" for f in following))
+    return (last == LF) | (last == SEMICOLON) | _among(last, _STOPS_ALWAYS) | (_among(last, _STOPS_BEFORE_BLANK) & _among(after, _AFTER_STOP))
 
 
 # -- DataFrames --------------------------------------------------------------

@@ -58,3 +58,17 @@ def test_slices_keep_all_rows():
     parts = list(encode._by_size(b, 100))
     assert sum(p.num_rows for p in parts) == 50 and len(parts) > 5
     assert list(encode._by_size(b.slice(0, 0))) == []
+
+
+def test_runs_of_every_kind_are_cut_and_joined_exactly():
+    import random
+
+    enc = encode.encoder(encode.vocabulary_path())
+    r = random.Random(5)
+    pools = ["aaaaab", "0123456789", "!!!!?-=*'", "    \n\t", "　  ", "abc 12!'s", "我们的是。", "\x1c\x85 ab", "é́àß", "'s't!a "]
+    for _ in range(600):
+        t = "".join("".join(r.choice(p) for _ in range(r.randint(1, 120))) for p in r.choices(pools, k=r.randint(1, 6)))
+        assert encode.encode_texts([t], enc, leaf=r.choice([8, 16, 24, 40]))[0].tolist() == enc.encode_ordinary(t), t
+    for c in "a7! ":
+        assert len(list(encode._leaves(encode.tree(c * 40_000)))) >= 8
+        assert encode.encode_texts([c * 40_000], enc)[0].tolist() == enc.encode_ordinary(c * 40_000)
