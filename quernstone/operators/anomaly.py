@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.operators.ranks import group_key, quantiles
-from quernstone.session import use_checkpoints
+from quernstone.session import settled
 
 LEAST = 12
 
@@ -44,8 +44,7 @@ def residuals(df: DataFrame, cohort: Sequence[str], key: str, features: Sequence
     base = df.select(key, *cohort, *fs).withColumn("__ok", complete)
     full = base.where("__ok")
     # written once: read for the quantiles and for scaling
-    use_checkpoints(df.sparkSession)
-    full = full.withColumn("__g", group_key(cohort)).checkpoint()
+    full = settled(full.withColumn("__g", group_key(cohort)))
     spread = quantiles(full, cohort, fs, (0.25, 0.5, 0.75)).withColumn("__n", F.col(f"{fs[0]}_n"))
     scaled = full.join(spread, "__g")
     for f in fs:

@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.session import shuffle_partitions
+from quernstone.session import plan_bytes, shuffle_partitions, spill_folder
 
 #: Buckets per shuffle partition; a bucket is the unit handed to DuckDB.
 BUCKETS_PER_PARTITION = 4
+#: Bytes of input for which there is at least one bucket.
+BUCKET_BYTES = 32 << 20
 #: Memory that one embedded DuckDB may use before it spills.
 DUCKDB_MEMORY = "384MB"
 
@@ -64,7 +66,7 @@ def _duckdb():
     if _connection is None:
         import duckdb
 
-        _connection = duckdb.connect(config={"threads": "1", "memory_limit": DUCKDB_MEMORY})
+        _connection = duckdb.connect(config={"threads": "1", "memory_limit": DUCKDB_MEMORY, "temp_directory": spill_folder()})
     return _connection
 
 
@@ -138,7 +140,8 @@ def attach_known(
     )
     asked = ev.select("entity_key", "event_day").distinct()
 
-    n = buckets or BUCKETS_PER_PARTITION * shuffle_partitions(events.sparkSession)
+    # more data make more buckets, not larger ones
+    n = buckets or max(BUCKETS_PER_PARTITION * shuffle_partitions(events.sparkSession), (plan_bytes(events) + plan_bytes(versions)) // BUCKET_BYTES)
     bucket = F.pmod(F.xxhash64("entity_key"), F.lit(n)).cast("int").alias("bucket")
     answers = (
         asked.select("entity_key", "event_day", bucket)

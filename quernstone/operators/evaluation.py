@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.operators.ranks import group_key, places, unpivot
-from quernstone.session import use_checkpoints
+from quernstone.session import settled
 
 
 def ranking_bounds(rankings: DataFrame, judgments: DataFrame, universe: DataFrame, query: str, item: str, *, k: int, maximum: int, threshold: int = 1) -> DataFrame:
@@ -79,9 +79,8 @@ def spearman(df: DataFrame, cohort: Sequence[str], a: str, b: str) -> DataFrame:
     Ranks come from counts of values, so that a cohort of any size is spread
     over many tasks.
     """
-    use_checkpoints(df.sparkSession)
     known = F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b)
-    both = df.where(known).select(*cohort, F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b), group_key(cohort).alias("__g")).checkpoint()
+    both = settled(df.where(known).select(*cohort, F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b), group_key(cohort).alias("__g")))
     p = places(unpivot(both, ["__g"], [a, b]), ["__g", "measure"])
     rank_of = lambda m, name: p.where(F.col("measure") == m).select("__g", F.col("value").alias(m), (F.col("before") + 1 + (F.col("equal") - 1) / 2).alias(name))
     ranked = both.join(rank_of(a, "__ra"), ["__g", a]).join(rank_of(b, "__rb"), ["__g", b])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as tx
-from quernstone.session import use_checkpoints
+from quernstone.session import settled
 
 K1, B = 1.5, 0.75
 
@@ -109,8 +109,7 @@ def near_duplicates(df: DataFrame, doc: str, text: str, group: str, order: Seque
     weights = tfidf(df.where(F.col(group).isNotNull()), doc, text, group)
     heads = firsts.select(F.col("head").alias(doc), "head_place")
     # read three times below, and costly to make
-    use_checkpoints(df.sparkSession)
-    w = weights.join(heads, doc).checkpoint()
+    w = settled(weights.join(heads, doc))
     frequency = w.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     in_order, whole = Window.partitionBy(doc).orderBy("df", "term"), Window.partitionBy(doc)
     mass = F.col("weight") * F.col("weight")

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.session import shuffle_partitions, use_checkpoints
+from quernstone.session import settled, shuffle_partitions
 
 
 def group_key(columns: Sequence[str]) -> Column:
@@ -29,11 +29,10 @@ def unpivot(df: DataFrame, keep: Sequence[str | Column], values: Sequence[str])
 
 def places(long: DataFrame, group: Sequence[str]) -> DataFrame:
     """(group, value, equal, before, total): rows of each value, below it, and in the group. Group columns are not null."""
-    use_checkpoints(long.sparkSession)
     g = list(group)
     counts = long.groupBy(*g, "value").agg(F.count(F.lit(1)).alias("equal"))
     # written once: a range partition is drawn by sampling, and its numbers must not change between reads
-    ranged = counts.repartitionByRange(shuffle_partitions(long.sparkSession), *g, "value").withColumn("__p", F.spark_partition_id()).checkpoint()
+    ranged = settled(counts.repartitionByRange(shuffle_partitions(long.sparkSession), *g, "value").withColumn("__p", F.spark_partition_id()))
     parts = ranged.groupBy(*g, "__p").agg(F.sum("equal").alias("__n"))
     whole = Window.partitionBy(*g)
     parts = parts.withColumns({
@@ -53,8 +52,7 @@ def midranks(df: DataFrame, key: str, cohort: Sequence[str], values: Mapping[str
     `least` values, has none. `key` is unique and not null.
     """
     # read for counting and for the answer
-    use_checkpoints(df.sparkSession)
-    df = df.checkpoint()
+    df = settled(df)
     long = unpivot(df, [key, group_key(cohort).alias("__g")], list(values))
     p = places(long, ["__g", "measure"])
     percent = F.when(F.col("total") == F.col("equal"), F.lit(50.0)).otherwise(F.try_divide(F.col("before") + (F.col("equal") - 1) / 2, F.col("total") - 1) * 100)

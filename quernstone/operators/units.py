@@ -6,13 +6,16 @@ Plan
 2. the unit is the one named in the text, else unit_scale. Where both are
    missing, a calibrated tree ensemble names the unit that magnitude, source,
    category and the neighbouring fields suggest. It is trained on a bounded
-   sample of rows that state their unit (TRAINING_ROWS); the neighbours are
-   the mean log amounts of the issuer and of the source, two aggregates of all
-   rows which combine before they shuffle.
-3. an assignment is taken over if its calibrated probability reaches
-   CONFIDENT and it does not contradict the rule of the delivery, by which a
-   missing scale means single units; every other row is routed for review and
-   counts, until reviewed, by that rule.
+   sample of rows that state their unit (TRAINING_ROWS), drawn in a fixed order;
+   the neighbours are the mean log amounts of the issuer's and of the source's
+   other rows, two aggregates of all rows which combine before they shuffle.
+   Only rows without a unit meet the model.
+3. an assignment whose calibrated probability reaches CONFIDENT is converted,
+   every other one is routed for review. What an unsettled row counts as is the
+   caller's choice: nothing (`settle="model"`: its amount stays null), or what
+   the delivery's own rule says, by which a missing scale means single units
+   (`settle="rule"`); then a confident assignment that contradicts the rule is
+   routed for review too.
 4. the currency is the one in its column, else the one in the text, else the
    issuer's; the rate is the delivered one, else that of the month.
 """
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 from quernstone.operators.forest import Forest
 from quernstone.operators.rejects import CURRENCY_WORDS, UNIT_WORDS, is_unknown, with_amount
 from quernstone.operators.tickers import clean_ticker
-from quernstone.session import use_checkpoints
+from quernstone.session import settled
 
 #: Upper bound of the labelled rows that train the classifier.
 TRAINING_ROWS = 12_000
@@ -73,8 +76,7 @@ def read_amounts(valuations: DataFrame, companies: DataFrame, fx: DataFrame) ->
     )
     # written before it is filtered: a filter on the number would be pushed to the scan, and every text
     # read twice; statistics, training sample and scoring then read the narrow result
-    use_checkpoints(valuations.sparkSession)
-    v = parsed.checkpoint().where("number is not null")
+    v = settled(parsed).where("number is not null")
     c = companies.select(clean_ticker("ticker").alias("ticker"), "market", F.upper("reporting_currency").alias("reporting_currency")).dropDuplicates(["ticker"])
     r = fx.select(F.col("rate_month"), F.upper("from_currency").alias("currency"), F.upper("to_currency").alias("reporting_currency"), "rate").dropDuplicates(["rate_month", "currency", "reporting_currency"])
     x = v.join(c, "ticker", "left").withColumn("currency", F.coalesce("own_currency", "reporting_currency"))
@@ -93,66 +95,85 @@ def read_amounts(valuations: DataFrame, companies: DataFrame, fx: DataFrame) ->
 _FEATURES = "log_number, digits_after, provider_code, scope_code, market_code, currency_code, ticker_gap, provider_gap".split(", ")
 
 
-def _with_features(x: DataFrame) -> DataFrame:
-    log = F.log10("number")
-    stated = F.when(F.col("unit_stated").isNotNull(), log + F.log10("unit_stated"))
+def _neighbours(x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ticker, sum and number of log amounts of stated unit) and the same by provider."""
+    stated = F.when(F.col("unit_stated").isNotNull(), F.log10("number") + F.log10("unit_stated"))
     cells = x.groupBy("ticker", "provider").agg(F.sum(stated).alias("total"), F.count(stated).alias("n"))
-    by = lambda key: cells.groupBy(key).agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias(f"{key}_log"))
+    by = lambda key: cells.groupBy(key).agg(F.sum("total").alias(f"{key}_sum"), F.sum("n").alias(f"{key}_n"))
+    return by("ticker"), by("provider")
+
+
+def _with_features(x: DataFrame, neighbours: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """x with what the model looks at; no row is its own neighbour."""
+    log = F.log10("number")
+    own, one = F.coalesce(log + F.log10("unit_stated"), F.lit(0.0)), F.col("unit_stated").isNotNull().cast("int")
+    gap = lambda key: F.try_divide(F.coalesce(f"{key}_sum", F.lit(0.0)) - own, F.nullif(F.coalesce(f"{key}_n", F.lit(0)) - one, F.lit(0))) - log
     code = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(1021)).cast("double")
-    y = x.join(by("ticker"), "ticker", "left").join(by("provider"), "provider", "left")
+    tickers, providers = neighbours
+    y = x.join(tickers, "ticker", "left").join(providers, "provider", "left")
     return y.withColumns({
         "log_number": log, "digits_after": (F.col("number") % 1 > 0).cast("double"), "provider_code": code("provider"), "scope_code": code("cap_scope"),
-        "market_code": code("market"), "currency_code": code("currency"), "ticker_gap": F.col("ticker_log") - log, "provider_gap": F.col("provider_log") - log,
-    }).drop("ticker_log", "provider_log")
+        "market_code": code("market"), "currency_code": code("currency"), "ticker_gap": gap("ticker"), "provider_gap": gap("provider"),
+    }).drop("ticker_sum", "ticker_n", "provider_sum", "provider_n")
 
 
-def train_units(featured: DataFrame, total: int, *, rows: int = TRAINING_ROWS, seed: int = 1) -> Forest | None:
-    """A forest from at most `rows` rows that state their unit, drawn by a hash of their id.
+def train_units(x: DataFrame, neighbours: tuple[DataFrame, DataFrame], *, rows: int = TRAINING_ROWS, seed: int = 1) -> Forest | None:
+    """A forest from at most `rows` rows that state their unit: the first ones in the order of a hash of their id.
 
-    None if no row states a unit.
+    The same rows are drawn however the data are partitioned. None if no row
+    states a unit.
     """
-    share = min(1.0, 1.5 * rows / max(total, 1))
-    drawn = featured.where(F.col("unit_stated").isNotNull() & (F.pmod(F.xxhash64("valuation_id", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)))
-    got = drawn.select("valuation_id", "unit_stated", *_FEATURES).limit(rows).toPandas().sort_values("valuation_id")
+    place = F.xxhash64("valuation_id", F.lit(seed))
+    drawn = x.where(F.col("unit_stated").isNotNull()).orderBy(place, "valuation_id", "number", "unit_stated").limit(rows)
+    got = _with_features(drawn, neighbours).select("valuation_id", "unit_stated", "number", *_FEATURES).toPandas().sort_values(["valuation_id", "number", "unit_stated"])
     if got.empty:
         return None
     return Forest.fit(got[_FEATURES].to_numpy(float), got["unit_stated"].to_numpy(float), seed=seed)
 
 
-def assign_units(x: DataFrame, total: int, *, confident: float = CONFIDENT) -> DataFrame:
-    """x with unit, unit_model, unit_confidence, route ('stated', 'model' or 'review')."""
-    f = _with_features(x)
-    model = train_units(f, total)
+def assign_units(x: DataFrame, *, confident: float = CONFIDENT, settle: str = "rule") -> DataFrame:
+    """x with unit, unit_model, unit_confidence, route ('stated', 'model' or 'review').
+
+    settle: what a row for review counts as, 'model' for no unit at all, 'rule'
+    for the single units of the delivery's rule.
+    """
+    if settle not in ("model", "rule"):
+        raise ValueError("settle is 'model' or 'rule'")
+    neighbours = _neighbours(x)
+    model = train_units(x, neighbours)
     blob = pickle.dumps(model) if model is not None else None
-    schema = T.StructType([*f.schema.fields, T.StructField("unit_model", T.DoubleType()), T.StructField("unit_confidence", T.DoubleType())])
+    asked = _with_features(x.where(F.col("unit_stated").isNull()), neighbours)
+    # a mean of doubles depends on the order of its sum in the last places; the model must not
+    asked = asked.withColumns({c: F.round(c, 9) for c in ("log_number", "ticker_gap", "provider_gap")})
+    schema = T.StructType([*asked.schema.fields, T.StructField("unit_model", T.DoubleType()), T.StructField("unit_confidence", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = pickle.loads(blob) if blob else None
         for b in batches:
-            stated = np.asarray(b.column(b.schema.get_field_index("unit_stated")).is_valid())
             unit, p = np.full(b.num_rows, np.nan), np.zeros(b.num_rows)
-            ask = np.flatnonzero(~stated)
-            if forest is not None and len(ask):
-                m = np.column_stack([b.column(b.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False)[ask] for c in _FEATURES])
-                unit[ask], p[ask] = forest.predict(m)
-            arrays = [*b.columns, pa.array(unit, pa.float64(), mask=np.isnan(unit)), pa.array(p, pa.float64(), mask=stated)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, "unit_model", "unit_confidence"])
-
-    scored = f.mapInArrow(score, schema).drop(*_FEATURES)
-    agrees = (F.col("unit_confidence") >= confident) & (F.col("unit_model") == 1.0)
-    return scored.withColumn("route", F.when(F.col("unit_stated").isNotNull(), "stated").when(agrees, "model").otherwise("review")).withColumn(
-        # the rule of the delivery settles what the model leaves for review
-        "unit", F.coalesce("unit_stated", F.when(F.col("route") == "model", F.col("unit_model")), F.lit(1.0)))
-
-
-def convert(valuations: DataFrame, companies: DataFrame, fx: DataFrame, *, confident: float = CONFIDENT) -> DataFrame:
+            if forest is not None and b.num_rows:
+                unit, p = forest.predict(np.column_stack([b.column(b.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in _FEATURES]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(unit, pa.float64(), mask=np.isnan(unit)), pa.array(p, pa.float64())], names=[*b.schema.names, "unit_model", "unit_confidence"])
+
+    taken = F.col("unit_confidence") >= confident
+    if settle == "rule":
+        taken = taken & (F.col("unit_model") == 1.0)
+    scored = asked.mapInArrow(score, schema).drop(*_FEATURES).withColumn("route", F.when(taken, "model").otherwise("review"))
+    unit = F.when(F.col("route") == "model", F.col("unit_model"))
+    scored = scored.withColumn("unit", unit if settle == "model" else F.coalesce(unit, F.lit(1.0)))
+    none = F.lit(None).cast("double")
+    stated = x.where(F.col("unit_stated").isNotNull()).withColumns({"unit_model": none, "unit_confidence": none, "route": F.lit("stated"), "unit": F.col("unit_stated")})
+    return stated.unionByName(scored)
+
+
+def convert(valuations: DataFrame, companies: DataFrame, fx: DataFrame, *, confident: float = CONFIDENT, settle: str = "rule") -> DataFrame:
     """Amounts in single units of the issuer's reporting currency.
 
-    Every loadable amount comes out; amount is null only where no rate is
-    known. An empty table gives an empty result.
+    Every loadable amount comes out. Its amount is null where no rate is known
+    and, with settle='model', where its unit is left for review. An empty table
+    gives an empty result.
     """
-    total = valuations.count()
-    x = assign_units(read_amounts(valuations, companies, fx), total, confident=confident)
+    x = assign_units(read_amounts(valuations, companies, fx), confident=confident, settle=settle)
     return x.withColumn("amount", F.col("number") * F.col("unit") * F.col("rate")).select(
         "valuation_id", "run_id", "ticker", "snapshot_date", "provider", "number", "unit", "route", "unit_model", "unit_confidence",
         "currency", "reporting_currency", "rate", "amount",
@@ -172,8 +193,7 @@ def agreeing_pairs(amounts: DataFrame, *, tolerance: float = TOLERANCE) -> DataF
     width = -float(np.log(1 - tolerance)) * (1 + 1e-9)
     rows = amounts.where(" and ".join(f"{k} is not null" for k in [*key, "provider", "amount"]) + " and amount > 0").select("valuation_id", *key, "provider", "amount")
     # read four times below: written once, where every executor can read it again
-    use_checkpoints(rows.sparkSession)
-    rows = rows.checkpoint()
+    rows = settled(rows)
     classes = rows.select(*key, "provider", "amount").distinct().withColumn("bin", F.floor(F.log("amount") / F.lit(width)))
     low = classes.select(*key, F.col("provider").alias("pa"), F.col("amount").alias("aa"), F.explode(F.array("bin", F.col("bin") + 1)).alias("bin"))
     high = classes.select(*key, F.col("provider").alias("pb"), F.col("amount").alias("ab"), "bin")

@@ -33,8 +33,8 @@ def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _amounts(spark: SparkSession, d: str) -> DataFrame:
-    return units.convert(table(spark, d, "valuations"), table(spark, d, "companies"), table(spark, d, "fx_rates"))
+def _amounts(spark: SparkSession, d: str, settle: str = "rule") -> DataFrame:
+    return units.convert(table(spark, d, "valuations"), table(spark, d, "companies"), table(spark, d, "fx_rates"), settle=settle)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +45,17 @@ def p4_amounts(spark: SparkSession, d: str) -> DataFrame:
     return _amounts(spark, d)
 
 
+def p4_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts of which a missing unit is settled by the model alone: confident ones converted, the others null and for review."""
+    return _amounts(spark, d, "model")
+
+
+def p4_stated(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts of the rows that state their unit; no model has a part in them."""
+    x = _amounts(spark, d, "model").where("route = 'stated'")
+    return x.select("valuation_id", "ticker", "unit", "currency", "reporting_currency", "amount")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     keyed = lambda t: table(spark, d, t).withColumn("__ticker", clean_ticker("ticker"))
     return asof.attach_known(
@@ -55,4 +66,4 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded, "p4_found": p4_found, "p4_amounts": p4_amounts, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded, "p4_found": p4_found, "p4_amounts": p4_amounts, "p4_by_model": p4_by_model, "p4_stated": p4_stated, "p5_found": p5_found}

@@ -81,15 +81,18 @@ _STATEMENTS = f"""
           OR NOT ({_absent('equity_issued')} OR coalesce(trim({_text('equity_issued')}) = '', false) OR coalesce({_plain('equity_issued')} IN (0, 1), false)) THEN 'value' END AS reason FROM parsed)"""
 _ALL = f"WITH {_RECORDS}, {_AMOUNTS}, {_STATEMENTS}, reasons AS (SELECT * FROM records UNION ALL SELECT 'valuations', valuation_id, 'value' FROM amounts WHERE number IS NULL UNION ALL SELECT * FROM statement_reasons)"
 
+_VALUED = f"""{_AMOUNTS},
+        placed AS (SELECT a.*, upper(trim(a.ticker)) AS tk, c.reporting_currency AS rep, coalesce({_currency("lower(trim(a.currency))")}, {_currency('c1')}, c.reporting_currency) AS cur FROM amounts a LEFT JOIN companies c ON upper(trim(a.ticker)) = upper(trim(c.ticker)) WHERE number IS NOT NULL),
+        valued AS (SELECT valuation_id, run_id, tk, snapshot_date, provider, coalesce({_UNIT_VALUE}, unit_scale) AS unit, cur, coalesce(rep, cur) AS reporting, number * coalesce({_UNIT_VALUE}, unit_scale, 1.0)
+                          * CASE WHEN cur IS NOT DISTINCT FROM coalesce(rep, cur) THEN 1.0 ELSE coalesce(fx_to_reporting, r.rate) END AS amount
+                   FROM placed LEFT JOIN fx_rates r ON r.rate_month = date_trunc('month', snapshot_date) AND r.from_currency = cur AND r.to_currency = rep)"""
+
 SQL = {
+    "p4_stated": f"WITH {_VALUED} SELECT valuation_id, tk AS ticker, unit, cur AS currency, reporting AS reporting_currency, amount FROM valued WHERE unit IS NOT NULL",
     "p2_found": f"{_ALL} SELECT tbl, row_id, reason FROM reasons WHERE reason IS NOT NULL",
     "p2_loaded": f"""{_ALL}, every AS (SELECT 'raw_records' AS tbl, record_id AS row_id FROM raw_records UNION ALL SELECT 'valuations', valuation_id FROM valuations UNION ALL SELECT 'statements', statement_id FROM statements)
         SELECT tbl, row_id FROM every WHERE (tbl, row_id) NOT IN (SELECT (tbl, row_id) FROM reasons WHERE reason IS NOT NULL)""",
-    "p4_found": f"""WITH {_AMOUNTS},
-        placed AS (SELECT a.*, upper(trim(a.ticker)) AS tk, c.reporting_currency AS rep, coalesce({_currency("lower(trim(a.currency))")}, {_currency('c1')}, c.reporting_currency) AS cur FROM amounts a LEFT JOIN companies c ON upper(trim(a.ticker)) = upper(trim(c.ticker)) WHERE number IS NOT NULL),
-        valued AS (SELECT valuation_id, run_id, tk, snapshot_date, provider, number * coalesce({_UNIT_VALUE}, unit_scale, 1.0)
-                          * CASE WHEN cur IS NOT DISTINCT FROM coalesce(rep, cur) THEN 1.0 ELSE coalesce(fx_to_reporting, r.rate) END AS amount
-                   FROM placed LEFT JOIN fx_rates r ON r.rate_month = date_trunc('month', snapshot_date) AND r.from_currency = cur AND r.to_currency = rep)
+    "p4_found": f"""WITH {_VALUED}
         SELECT least(a.valuation_id, b.valuation_id) AS valuation_a, greatest(a.valuation_id, b.valuation_id) AS valuation_b
         FROM valued a JOIN valued b ON a.run_id = b.run_id AND a.tk = b.tk AND a.snapshot_date = b.snapshot_date AND a.valuation_id < b.valuation_id
         WHERE a.provider <> b.provider AND abs(a.amount - b.amount) <= 0.005 * greatest(a.amount, b.amount)""",

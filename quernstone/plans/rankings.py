@@ -12,7 +12,7 @@ from quernstone.functions import text as tx
 from quernstone.operators import anomaly, coverage, evaluation, gates, models, passages, vectors
 from quernstone.operators.tickers import clean_ticker
 from quernstone.plans import texts, years
-from quernstone.session import table, use_checkpoints
+from quernstone.session import scratch, table
 from quernstone.streaming import upserts
 
 TOP = 5
@@ -73,8 +73,7 @@ def q_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 def q_stream(spark: SparkSession, d: str) -> DataFrame:
     """Newest event per user and kind, drained from a stream of the events."""
-    use_checkpoints(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     key, order, keep = ["user_id", "event_type"], [F.col("ts"), F.col("event_id")], ["event_id", "value"]
     events = table(spark, d, "events")
     upserts.upsert_latest(upserts.stream_parquet(spark, f"{d}/events.parquet*", events.schema), folder, key, order, keep, ["ts"])

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +35,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a data frame's size; for files it is their size, 0 where it has none. No job runs."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as the cluster has cores.
 
@@ -41,11 +51,65 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Honour the cluster's shared checkpoint folder; set one only where none is named."""
+def scratch(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one the cluster names in spark.checkpoint.dir, shared by all its machines.
+
+    Only a local session may do without; then it is a temporary folder, removed
+    at the end. On a cluster a missing setting is an error, as no machine could
+    read what another one wrote.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quernstone-ckpt-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    if "local" not in _local:
+        _local["local"] = tempfile.mkdtemp(prefix="quernstone-tables-")
+        atexit.register(shutil.rmtree, _local["local"], True)
+    return _local["local"]
+
+
+_local: dict[str, str] = {}
+_written: list[tuple[SparkSession, str]] = []
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, written once as a table in the shared folder and read from there: what follows neither repeats its work nor needs its lineage.
+
+    The table survives the loss of any executor. It is removed by release(), at
+    the latest when the process ends.
+    """
+    spark = df.sparkSession
+    if not _written:
+        atexit.register(_release_all)
+    folder = f"{scratch(spark)}/quernstone-{uuid.uuid4().hex}"
+    _written.append((spark, folder))
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate tables of a session; data frames that still read them can no longer run."""
+    mine = [f for s, f in _written if s is spark]
+    for folder in mine:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written[:] = [(s, f) for s, f in _written if s is not spark]
+    return len(mine)
+
+
+def _release_all() -> None:
+    for spark in {id(s): s for s, _ in _written}.values():
+        try:
+            release(spark)
+        except Exception:  # noqa: BLE001 - the session may be gone; nothing else can be done at exit
+            pass
+
+
+def spill_folder() -> str:
+    """Where a worker process may spill: the scratch folder Spark gave to its machine."""
+    return os.path.join((os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir()).split(",")[0], f"quernstone-spill-{os.getpid()}")
 
 
 _shipped: set[str] = set()
@@ -53,7 +117,6 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the executors, once per application."""
-    import os
     import zipfile
 
     sc = spark.sparkContext
