@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.session import use_checkpoints
+from quernstone.session import settled, spill_folder
 
 # Letters of equal shape, each list in the order of the Latin letters beside it.
 LOOK_ALIKES = {
@@ -141,7 +141,7 @@ def _duckdb():
     if _connection is None:
         import duckdb
 
-        _connection = duckdb.connect(config={"threads": "1", "memory_limit": "384MB"})
+        _connection = duckdb.connect(config={"threads": "1", "memory_limit": "384MB", "temp_directory": spill_folder()})
     return _connection
 
 
@@ -185,8 +185,7 @@ def alike_pairs(keys: DataFrame) -> DataFrame:
     on; classes meet once, and their members are joined to the pairs of
     classes, so that exact copies never meet each other.
     """
-    use_checkpoints(keys.sparkSession)
-    keys = keys.checkpoint()
+    keys = settled(keys)
     mixed = keys.groupBy("form_key").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi").select("form_key")
     rows = keys.join(mixed, "form_key")
     classes = rows.select("form_key", "text_key").distinct()
