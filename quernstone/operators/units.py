@@ -191,10 +191,10 @@ def agreeing_pairs(amounts: DataFrame, *, tolerance: float = TOLERANCE) -> DataF
     """
     stated = ["run_id", "ticker", "snapshot_date"]
     width = -float(np.log(1 - tolerance)) * (1 + 1e-9)
-    # a group's key as two 64-bit digests: the texts themselves would be the larger part of every shuffle below
-    key = ["k1", "k2"]
+    # run and issuer as one 64-bit digest beside the day: the texts themselves would be costly in every shuffle below
+    key = ["k1", "snapshot_date"]
     rows = amounts.where(" and ".join(f"{k} is not null" for k in [*stated, "provider", "amount"]) + " and amount > 0").select(
-        "valuation_id", F.xxhash64(*stated).alias("k1"), F.xxhash64(F.lit("k2"), *stated).alias("k2"), "provider", "amount")
+        "valuation_id", F.xxhash64("run_id", "ticker").alias("k1"), "snapshot_date", "provider", "amount")
     # read four times below: written once, where every executor can read it again
     rows = settled(rows)
     classes = rows.select(*key, "provider", "amount").distinct().withColumn("bin", F.floor(F.log("amount") / F.lit(width)))
