@@ -6,10 +6,8 @@ give null. Every helper is a plain expression.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quernstone.operators.rejects import NUMBER, UNKNOWN, strip
 
@@ -61,7 +59,10 @@ def capped(x: Column, most: float) -> Column:
     return F.when(x.isNotNull(), F.least(x, F.lit(most)))
 
 
-@F.pandas_udf(T.DoubleType())
-def rank_key(x: pd.Series) -> pd.Series:
-    """x to 12 significant digits, so that noise in the last places does not rank."""
-    return x.map(lambda v: None if pd.isna(v) else float(f"{v:.12g}"))
+def rank_key(x: Column, digits: int = 12) -> Column:
+    """x to so many significant digits, so that noise in the last places parts no equals; null and what is not finite stay.
+
+    -0 becomes 0, as the two are one value.
+    """
+    exact = F.format_string(f"%.{digits - 1}e", x).cast("double") + F.lit(0.0)
+    return F.when(F.abs(x) < F.lit(INF), exact).otherwise(x)

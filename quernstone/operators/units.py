@@ -166,6 +166,11 @@ def assign_units(x: DataFrame, *, confident: float = CONFIDENT, settle: str = "r
     return stated.unionByName(scored)
 
 
+def by_rule(x: DataFrame) -> DataFrame:
+    """(valuation_id, amount, reporting_currency) of read_amounts() by the delivery's rule alone: a missing scale means single units."""
+    return x.select("valuation_id", (F.col("number") * F.coalesce("unit_stated", F.lit(1.0)) * F.col("rate")).alias("amount"), "reporting_currency")
+
+
 def convert(valuations: DataFrame, companies: DataFrame, fx: DataFrame, *, confident: float = CONFIDENT, settle: str = "rule") -> DataFrame:
     """Amounts in single units of the issuer's reporting currency.
 

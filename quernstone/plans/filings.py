@@ -54,8 +54,8 @@ _LOADED = f"""{_STATEMENTS},
 _KEPT = ("period_end", "currency", *MONEY_FIELDS)
 _THREE = f"""{_LOADED},
     years AS (SELECT * FROM loaded WHERE period_end <= DATE '{AS_OF}' AND available_at <= DATE '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY ticker, period_end ORDER BY available_at DESC, revision DESC, statement_id) = 1),
-    beside AS (SELECT *, {', '.join(f'lag({c}, {n}) OVER (PARTITION BY ticker ORDER BY period_end) AS {c}_{n}' for n in (1, 2) for c in _KEPT)} FROM years),
-    three AS (SELECT * FROM beside WHERE datediff('day', period_end_1, period_end) BETWEEN 350 AND 380 AND datediff('day', period_end_2, period_end_1) BETWEEN 350 AND 380
+    aligned AS (SELECT *, {', '.join(f'lag({c}, {n}) OVER (PARTITION BY ticker ORDER BY period_end) AS {c}_{n}' for n in (1, 2) for c in _KEPT)} FROM years),
+    three AS (SELECT * FROM aligned WHERE datediff('day', period_end_1, period_end) BETWEEN 350 AND 380 AND datediff('day', period_end_2, period_end_1) BETWEEN 350 AND 380
               AND currency = currency_1 AND currency_1 = currency_2 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY period_end DESC) = 1),
     r0 AS (SELECT *, {_div('net_income', 'total_assets_1')} AS roa, CASE WHEN equity_parent > 0 AND equity_parent_1 > 0 THEN {_div('net_income_parent', _avg('equity_parent', 'equity_parent_1'))} END AS roe,
         {_div('revenue - cogs', 'revenue')} AS gross_margin, {_div('operating_cash_flow', 'net_income')} AS cash_conversion, {_div('core_income_parent', 'net_income_parent')} AS core_profit_share, operating_cash_flow - capex AS fcf,

@@ -144,7 +144,7 @@ _COHORT = ["region", "segment"]
 def _blocks(df: DataFrame) -> DataFrame:
     measures = sorted({m for ms in BLOCKS.values() for m in ms})
     # noise in the last places must not part equal values
-    df = ranks.midranks(df.withColumns({m: F.round(m, 9) for m in measures}), "ck", _COHORT, {m: m not in LOWER_IS_BETTER for m in measures})
+    df = ranks.midranks(df.withColumns({m: nm.rank_key(F.col(m)) for m in measures}), "ck", _COHORT, {m: m not in LOWER_IS_BETTER for m in measures})
     return df.withColumns({b: peers.block(*[f"{m}_pct" for m in ms]) for b, ms in BLOCKS.items()}).withColumn("score", peers.composite(WEIGHTS))
 
 
@@ -159,7 +159,7 @@ def _pct_sql(m: str) -> str:
 
 _RANKED = sorted({m for ms in BLOCKS.values() for m in ms})
 BLOCKS_SQL = f"""{METRICS_SQL},
-    keyed AS (SELECT * REPLACE ({', '.join(f'round({m}, 9) AS {m}' for m in _RANKED)}) FROM metrics),
+    keyed AS (SELECT * REPLACE ({', '.join(f"printf('%.11e', {m})::DOUBLE + 0.0 AS {m}" for m in _RANKED)}) FROM metrics),
     pct AS (SELECT *, {', '.join(map(_pct_sql, _RANKED))} FROM keyed),
     blocks AS (SELECT *, {', '.join(f"({' + '.join(f'{m}_pct' for m in ms)}) / {len(ms)} AS {b}" for b, ms in BLOCKS.items())} FROM pct),
     scored AS (SELECT *, {' + '.join(f'{b} * {w}' for b, w in WEIGHTS.items())} AS score FROM blocks)"""
