@@ -59,10 +59,11 @@ def capped(x: Column, most: float) -> Column:
     return F.when(x.isNotNull(), F.least(x, F.lit(most)))
 
 
-def rank_key(x: Column, digits: int = 12) -> Column:
+def rank_key(x: Column | str, digits: int = 12) -> Column:
     """x to so many significant digits, so that noise in the last places parts no equals; null and what is not finite stay.
 
     -0 becomes 0, as the two are one value.
     """
+    x = F.col(x) if isinstance(x, str) else x
     exact = F.format_string(f"%.{digits - 1}e", x).cast("double") + F.lit(0.0)
     return F.when(F.abs(x) < F.lit(INF), exact).otherwise(x)
