@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A sentence ends after one of these marks, at a blank line, or at a full stop after a letter or digit before a blank or the end.
-_END = re.compile(r"[。！？!?；;]|\n\s*\n|(?<=[^\W_])\.(?=\s|$)")
+#: A sentence ends after a run of these marks, at a blank line, or at a full stop after one of A-Z, a-z, 0-9 and before a blank or the end.
+_END = re.compile(r"[。！？!?；;]+|\n\s*\n|(?<=[A-Za-z0-9])\.(?=\s|$)")
 
 
 def spans(text: str) -> list[tuple[int, int]]:
@@ -30,11 +30,15 @@ def spans(text: str) -> list[tuple[int, int]]:
 
 
 def windows(a: int, b: int, hits: list[int], *, size: int = 480, before: int = 160) -> list[tuple[int, int]]:
-    """Windows of at most `size` characters over a long sentence: around its hits, else in strides."""
+    """Windows of `size` characters over a long sentence: around its hits, else around places a window apart.
+
+    A window begins `before` characters ahead of its place, but neither before
+    the sentence nor so late that it would not be filled.
+    """
     if b - a <= size:
         return [(a, b)]
-    starts = [max(a, h - before) for h in hits] or list(range(a, b, size))
-    return list(dict.fromkeys((s, min(b, s + size)) for s in starts))
+    starts = (max(a, min(h - before, b - size)) for h in (hits or range(a, b, size)))
+    return [(s, s + size) for s in dict.fromkeys(starts)]
 
 
 def sentences(df: DataFrame, id_column: str, text_column: str) -> DataFrame:

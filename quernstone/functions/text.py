@@ -59,10 +59,14 @@ def fixed_chunks(text: Column, size: int = 480, overlap: int = 80) -> Column:
 
 
 def excerpt(text: Column, position: Column, *, before: int = 250, size: int = 1000) -> Column:
-    """At most `size` characters around a zero-based position, with dots where something is left out."""
-    start = F.greatest(position - before, F.lit(0))
+    """At most `size` characters around a zero-based position, an ellipsis where something is left out.
+
+    A text within the size is whole; near the end of a longer one the window
+    moves back until it is filled. A null position counts as the start.
+    """
+    start = F.greatest(F.least(F.coalesce(position, F.lit(0)) - before, F.length(text) - size), F.lit(0))
     body = F.substring(text, (start + 1).cast("int"), F.lit(size))
-    return F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(start + size < F.length(text), "...").otherwise(""))
+    return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(start + size < F.length(text), "…").otherwise(""))
 
 
 def csv_safe(text: Column) -> Column:

@@ -16,7 +16,8 @@ def ranking_bounds(rankings: DataFrame, judgments: DataFrame, universe: DataFram
 
     rankings: (query, item, rank); judgments: (query, item, grade), unjudged
     items absent; universe: (query, items) with the number of candidates. An
-    unjudged item may have any grade from 0 to `maximum`.
+    unjudged item may have any grade from 0 to `maximum`. Recall and MRR are
+    null where no item is or may be relevant, NDCG where none can have a gain.
     """
     judged = rankings.join(judgments, [query, item], "left").withColumns({
         "known": F.col("grade").isNotNull(), "good": F.coalesce(F.col("grade") >= threshold, F.lit(False)), "top": F.col("rank") <= k,
@@ -45,8 +46,9 @@ def ranking_bounds(rankings: DataFrame, judgments: DataFrame, universe: DataFram
     return y.select(
         query, (p / k).alias("precision_lo"), ((p + u) / k).alias("precision_hi"),
         F.when(r + open_ > 0, div(p, r + open_ - u, 1.0)).alias("recall_lo"), F.when(r + open_ > 0, div(p + u, r + u, 0.0)).alias("recall_hi"),
-        div(F.col("dcg_lo"), F.col("idcg_hi"), 0.0).alias("ndcg_lo"), F.least(F.lit(1.0), div(F.col("dcg_hi"), F.col("idcg_lo"), 1.0)).alias("ndcg_hi"),
-        F.when(F.col("first_good") > 0, 1.0 / F.col("first_good")).otherwise(0.0).alias("mrr_lo"), F.when(F.col("first_possible") > 0, 1.0 / F.col("first_possible")).otherwise(0.0).alias("mrr_hi"),
+        F.when(F.col("idcg_hi") > 0, F.col("dcg_lo") / F.col("idcg_hi")).alias("ndcg_lo"),
+        F.when(F.col("idcg_hi") > 0, F.when(F.col("idcg_lo") > 0, F.least(F.lit(1.0), F.col("dcg_hi") / F.col("idcg_lo"))).otherwise((F.col("dcg_hi") > 0).cast("double"))).alias("ndcg_hi"),
+        F.when(r + open_ > 0, div(F.lit(1.0), F.col("first_good"), 0.0)).alias("mrr_lo"), F.when(r + open_ > 0, div(F.lit(1.0), F.col("first_possible"), 0.0)).alias("mrr_hi"),
     )
 
 

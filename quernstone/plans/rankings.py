@@ -164,8 +164,8 @@ SQL = {
                      list_sum([(pow(2, CASE WHEN i <= o THEN 2 ELSE coalesce(grades[i - o], 0) END) - 1) / log2(i + 1) FOR i IN range(1, {TOP} + 1)]) AS ihi FROM x)
         SELECT query_id, round(p / {TOP}::DOUBLE, 6) AS precision_lo, round((p + u) / {TOP}::DOUBLE, 6) AS precision_hi,
                round(CASE WHEN r + o > 0 THEN CASE WHEN r + o - u > 0 THEN p / (r + o - u)::DOUBLE ELSE 1 END END, 6) AS recall_lo, round(CASE WHEN r + o > 0 THEN CASE WHEN r + u > 0 THEN (p + u) / (r + u)::DOUBLE ELSE 0 END END, 6) AS recall_hi,
-               round(CASE WHEN ihi > 0 THEN lo / ihi ELSE 0 END, 6) AS ndcg_lo, round(least(1, CASE WHEN ilo > 0 THEN hi / ilo ELSE 1 END), 6) AS ndcg_hi,
-               round(coalesce(1.0 / fg::DOUBLE, 0), 6) AS mrr_lo, round(coalesce(1.0 / fp::DOUBLE, 0), 6) AS mrr_hi FROM y""",
+               round(CASE WHEN ihi > 0 THEN lo / ihi END, 6) AS ndcg_lo, round(CASE WHEN ihi = 0 THEN NULL WHEN ilo > 0 THEN least(1, hi / ilo) WHEN hi > 0 THEN 1 ELSE 0 END, 6) AS ndcg_hi,
+               round(CASE WHEN r + o > 0 THEN coalesce(1.0 / fg::DOUBLE, 0) END, 6) AS mrr_lo, round(CASE WHEN r + o > 0 THEN coalesce(1.0 / fp::DOUBLE, 0) END, 6) AS mrr_hi FROM y""",
     "confusion_matrix": f"WITH {_GUESSED} SELECT lang, guess, count(*) AS n FROM guessed GROUP BY lang, guess",
     "class_report": f"""WITH {_GUESSED}, l AS (SELECT lang AS label FROM guessed UNION SELECT guess FROM guessed),
         c AS (SELECT l.label, (SELECT count(*) FROM guessed WHERE lang IS NOT DISTINCT FROM l.label) AS support, (SELECT count(*) FROM guessed WHERE guess IS NOT DISTINCT FROM l.label) AS named,
@@ -175,5 +175,10 @@ SQL = {
         SELECT 'all' AS rows_used, round(CASE WHEN count(m) = count(*) THEN avg(m) END, 4) AS macro FROM g UNION ALL SELECT 'known', round(avg(k), 4) FROM g WHERE k IS NOT NULL""",
     "jaccard_overlap": f"""WITH w AS (SELECT theme_row_id, {_WORDSET.format(c="coalesce(title, '')")} AS a, {_WORDSET.format(c="coalesce(text, '')")} AS b FROM theme_documents)
         SELECT theme_row_id, round(CASE WHEN len(list_distinct(a || b)) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(a || b))::DOUBLE END, 6) AS jaccard FROM w""",
+    "sentences": """WITH cut AS (SELECT doc_id, text, regexp_replace(text, '([。！？!?；;]+|\\n@ONE*\\n|[A-Za-z0-9]\\.(?:@ONE|$))', '\\1' || chr(1), 'g') AS marked FROM documents WHERE text IS NOT NULL),
+        parts AS (SELECT doc_id, unnest(string_split(marked, chr(1))) AS part, generate_subscripts(string_split(marked, chr(1)), 1) AS no FROM cut),
+        placed AS (SELECT doc_id, part, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, no FROM parts),
+        shown AS (SELECT doc_id, start + length(part) - length(regexp_replace(part, '^' || '@SPACE', '')) AS a, start + length(regexp_replace(part, '@SPACE' || '$', '')) AS b, no FROM placed WHERE regexp_replace(part, '@SPACE', '', 'g') <> '')
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS INT) AS sentence_no, CAST(a AS BIGINT) AS char_start, CAST(b AS BIGINT) AS char_end FROM shown""".replace("@SPACE", texts._SPACE).replace("@ONE", texts._SPACE[:-1]),
     "stream_versions_latest": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
 }

@@ -205,7 +205,8 @@ SQL = {
         SELECT ticker, arg_min(doc_id, (coalesce(available_at, DATE '9999-12-31'), doc_id)) AS doc_id, count(*) AS copies FROM x GROUP BY ticker, t""",
     "topic_hits": f"WITH {_TOPIC_SQL} SELECT * FROM firsts",
     "excerpts": f"""WITH {_TOPIC_SQL}, p AS (SELECT doc_id, min(position) AS position FROM firsts GROUP BY doc_id), s AS (SELECT doc_id, t, greatest(position - 250, 0) AS b FROM p JOIN folded USING (doc_id))
-        SELECT doc_id, md5(CASE WHEN b > 0 THEN '...' ELSE '' END || substr(t, b + 1, 1000) || CASE WHEN b + 1000 < length(t) THEN '...' ELSE '' END) AS excerpt_md5 FROM s""",
+        SELECT doc_id, md5(CASE WHEN length(t) <= 1000 THEN t WHEN b + 1000 >= length(t) THEN CASE WHEN length(t) > 1000 THEN '…' ELSE '' END || right(t, 1000)
+            ELSE CASE WHEN b > 0 THEN '…' ELSE '' END || substr(t, b + 1, 1000) || '…' END) AS excerpt_md5 FROM s""",
     "qualifier_filter": f"WITH f AS (SELECT doc_id, {_FOLD.format(c='text')} AS t FROM documents) SELECT doc_id FROM f WHERE regexp_matches(t, '(^|[^a-z0-9])q3([^a-z0-9]|$)') AND regexp_matches(t, '(^|[^a-z0-9])2023([^a-z0-9]|$)')",
     "csv_escape": "SELECT doc_id, md5(CASE WHEN text IS NULL THEN '' WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END) AS cell_md5 FROM documents",
     "html_clean": f"SELECT theme_row_id, md5(trim(regexp_replace(title || ' A & B <c>', '{_SPACE}', ' ', 'g'))) AS shown_md5 FROM theme_documents WHERE title IS NOT NULL",

@@ -205,6 +205,17 @@ def test_classes_correlation_overlap(spark):
     assert evaluation.macro_mean(m.union(spark.createDataFrame([("h", None)], "g string, v double")), "g", "v").first().macro is None
 
 
+def test_bounds_where_nothing_can_be_relevant(spark):
+    """No open item and no grade above 0: recall, NDCG and MRR are undefined; an empty ranking with grades is 0."""
+    ranked = spark.createDataFrame([("none", "a", 1), ("none", "b", 2), ("zero", "a", 1)], "q string, d string, rank int")
+    judged = spark.createDataFrame([("none", "a", 0), ("none", "b", 0), ("zero", "a", 0), ("zero", "b", 2), ("lost", "a", 2)], "q string, d string, grade int")
+    universe = spark.createDataFrame([("none", 2), ("zero", 2), ("lost", 1), ("bare", 0)], "q string, items int")
+    got = {r.q: r for r in evaluation.ranking_bounds(ranked, judged, universe, "q", "d", k=2, maximum=2).collect()}
+    nothing = lambda r: [r.recall_lo, r.recall_hi, r.ndcg_lo, r.ndcg_hi, r.mrr_lo, r.mrr_hi]
+    assert nothing(got["none"]) == [None] * 6 == nothing(got["bare"])
+    assert nothing(got["zero"]) == [0.0] * 6 == nothing(got["lost"])
+
+
 # -- coverage, anomaly, text --------------------------------------------------
 
 def test_coverage(spark):
@@ -246,14 +257,20 @@ def test_text_helpers(spark):
     assert [(c.char_start, len(c.chunk)) for c in chunks] == [(0, 480), (400, 480), (800, 100)]
     assert f(text.fixed_chunks, "") is None and f(text.fixed_chunks, None) is None and len(f(text.fixed_chunks, "x" * 480)) == 1
     x = spark.createDataFrame([("a" * 300 + "hit" + "b" * 2000, 300)], "t string, p int").select(text.excerpt(F.col("t"), F.col("p"))).first()[0]
-    assert x.startswith("...") and x.endswith("...") and "hit" in x and len(x) == 1006
+    assert x.startswith("…") and x.endswith("…") and "hit" in x and len(x) == 1002
+    cut = lambda t, p: spark.createDataFrame([(t, p)], "t string, p int").select(text.excerpt(F.col("t"), F.col("p"))).first()[0]
+    # a text within the size is whole wherever the hit lies; near the end the window moves back
+    assert cut("a" * 999 + "h", 999) == "a" * 999 + "h" and cut("ab" * 600, 1150) == "…" + ("ab" * 600)[200:] and cut("a" * 1200, None) == "a" * 1000 + "…" and cut(None, 3) is None and cut("", None) == ""
 
 
 def test_sentences():
     t = "First. Second 3.5 one!\n\n 第三。四；End"
     assert [t[a:b] for a, b in sentences.spans(t)] == ["First.", "Second 3.5 one!", "第三。", "四；", "End"]
     assert sentences.spans("") == [] and sentences.spans(" \n\n ") == []
-    assert sentences.windows(0, 1000, []) == [(0, 480), (480, 960), (960, 1000)] and sentences.windows(0, 1000, [500]) == [(340, 820)] and sentences.windows(5, 100, [9]) == [(5, 100)]
+    assert sentences.windows(0, 1000, []) == [(0, 480), (320, 800), (520, 1000)] and sentences.windows(0, 1000, [500]) == [(340, 820)] and sentences.windows(5, 100, [9]) == [(5, 100)]
+    assert sentences.windows(0, 1000, [10, 990, 995]) == [(0, 480), (520, 1000)]
+    run = "Really?! Yes... no。。。是！？"
+    assert [run[a:b] for a, b in sentences.spans(run)] == ["Really?!", "Yes... no。。。", "是！？"]
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
@@ -311,7 +328,7 @@ def test_passages_cut_long_sentences(spark):
     docs = spark.createDataFrame([(1, "A", f"Short one. {long}. End.", 1)], "d bigint, g string, t string, day int")
     rows = sorted(passages.passages(docs, "d", "t", "g", "day").collect(), key=lambda r: r.char_start)
     text = f"Short one. {long}. End."
-    assert [(r.char_start, r.char_end) for r in rows] == [(0, 10), (11, 491), (491, 971), (971, 1213), (1214, 1218)]
+    assert [(r.char_start, r.char_end) for r in rows] == [(0, 10), (11, 491), (331, 811), (733, 1213), (1214, 1218)]
     assert all(r.excerpt == text[r.char_start : r.char_end] for r in rows)
 
 
