@@ -1,23 +1,19 @@
-"""Documents of whole files: text pages and single-sheet workbooks."""
+"""Documents of whole files: text pages, and pages of PDF files where a reader for them is installed."""
 
 from __future__ import annotations
 
 import io
-import re
-import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Characters of the longest text file that is read; a longer one is rejected with a reason.
 MOST_CHARS = 20_000_000
-MOST_UNPACKED = 200_000_000
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
-def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+def whole_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
@@ -46,67 +42,36 @@ def text_pages(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFr
             columns = list(zip(*out)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()))], names=["path", "page_num", "text", "reason"])
 
-    files = _files(spark, path, pattern)
+    files = whole_files(spark, path, pattern)
     pages = files.mapInArrow(run, "path string, page_num int, text string, reason string")
     return pages.join(files.select("path", F.sha2("content", 256).alias("sha256")), "path").select("path", "sha256", "page_num", "text", "reason")
 
 
-def sheet_rows(content: bytes) -> list[list[str | None]]:
-    """Cells of the first sheet of a workbook, as text. Formulas, entities and oversized parts are errors."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        if sum(i.file_size for i in z.infolist()) > MOST_UNPACKED:
-            raise ValueError("too large when unpacked")
-
-        def xml(name: str):
-            raw = z.read(name)
-            if b"<!DOCTYPE" in raw or b"<!ENTITY" in raw:
-                raise ValueError("entities are not allowed")
-            return ElementTree.fromstring(raw)
-
-        names = z.namelist()
-        shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in xml("xl/sharedStrings.xml").findall("m:si", _NS)] if "xl/sharedStrings.xml" in names else []
-        sheets = sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
-        if len(sheets) != 1:
-            raise ValueError("one sheet is needed")
-        rows = []
-        for row in xml(sheets[0]).iter(f"{{{_NS['m']}}}row"):
-            cells: dict[int, str | None] = {}
-            for c in row.findall("m:c", _NS):
-                if c.find("m:f", _NS) is not None:
-                    raise ValueError("formulas are not allowed")
-                at = 0
-                for letter in re.match(r"[A-Z]+", c.get("r", "A")).group():
-                    at = at * 26 + ord(letter) - 64
-                v = c.find("m:v", _NS)
-                inline = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-                cells[at - 1] = shared[int(v.text)] if c.get("t") == "s" and v is not None else inline if c.get("t") == "inlineStr" else v.text if v is not None else None
-            rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-        return rows
-
-
-def below_header(rows: list[list[str | None]], labels: list[str], *, within: int = 10) -> list[dict[str, str | None]]:
-    """Rows under the first of `within` rows that holds all labels, as label to cell."""
-    for i, row in enumerate(rows[:within]):
-        stripped = [(c or "").strip() for c in row]
-        if all(x in stripped for x in labels):
-            at = {x: stripped.index(x) for x in labels}
-            return [{x: r[k] if k < len(r) else None for x, k in at.items()} for r in rows[i + 1 :] if any(r)]
-    raise ValueError("no header row")
-
-
-def workbook_rows(spark: SparkSession, path: str, labels: list[str], pattern: str = "*.xlsx") -> DataFrame:
-    """(path, row_no, cells, reason): labelled cells of workbooks; a file that cannot be read is one row with a reason."""
+def pdf_pages(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
+    """(path, sha256, page_num, text, reason) of PDF files, read by pypdf where it is installed.
+
+    A file that cannot be read, is encrypted or shows no text is one row with a
+    reason and no text; without the reader every file is, with 'no_pdf_reader'.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("row_no", pa.int32()), ("cells", pa.map_(pa.string(), pa.string())), ("reason", pa.string())])
+        try:
+            from pypdf import PdfReader
+        except ImportError:
+            PdfReader = None
         for b in batches:
-            out = []
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    out += [(name, i, list(r.items()), None) for i, r in enumerate(below_header(sheet_rows(content), labels))]
-                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
-                    out.append((name, -1, [], str(e)[:200] or type(e).__name__))
-            columns = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    return _files(spark, path, pattern).mapInArrow(run, "path string, row_no int, cells map<string,string>, reason string")
+                out = [(name, 0, None, "no_pdf_reader")]
+                if PdfReader is not None:
+                    try:
+                        book = PdfReader(io.BytesIO(content))
+                        shown = [] if book.is_encrypted else [(i + 1, page.extract_text() or "") for i, page in enumerate(book.pages)]
+                        out = [(name, n, t, None) for n, t in shown if t.strip()] or [(name, 0, None, "encrypted" if book.is_encrypted else "no_text")]
+                    except Exception:  # noqa: BLE001 - a reader may fail on a damaged file in any way; the file is one fault
+                        out = [(name, 0, None, "unreadable_pdf")]
+                columns = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()))], names=["path", "page_num", "text", "reason"])
+
+    files = whole_files(spark, path, pattern)
+    read = files.mapInArrow(run, "path string, page_num int, text string, reason string")
+    return read.join(files.select("path", F.sha2("content", 256).alias("sha256")), "path").select("path", "sha256", "page_num", "text", "reason")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,16 +32,31 @@ def export_jsonl(df: DataFrame, folder: str) -> None:
     df.select(*sorted(f"`{c}`" for c in df.columns)).write.mode("overwrite").option("ignoreNullFields", False).json(folder)
 
 
-def finish(folder: str, counts: dict[str, int]) -> None:
-    """The marker that an export is whole, with its row counts; written last, in one step."""
-    part = os.path.join(folder, ".complete.json.part")
-    with open(part, "w", encoding="utf-8") as f:
-        json.dump(counts, f, sort_keys=True)
-    os.replace(part, os.path.join(folder, "complete.json"))
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), lambda name: spark._jvm.org.apache.hadoop.fs.Path(path, name)
 
 
-def is_finished(folder: str) -> bool:
-    return os.path.exists(os.path.join(folder, "complete.json"))
+def finish(spark: SparkSession, folder: str, counts: dict[str, int]) -> None:
+    """The marker that an export is whole, with its row counts: written last, under another name, and renamed in one step.
+
+    On any file system that Spark writes to.
+    """
+    fs, at = _file_system(spark, folder)
+    out = fs.create(at(".complete.json.part"), True)
+    out.write(bytearray(json.dumps(counts, sort_keys=True), "utf-8"))
+    out.close()
+    fs.delete(at("complete.json"), False)
+    if not fs.rename(at(".complete.json.part"), at("complete.json")):
+        raise OSError(f"cannot mark {folder} as complete")
+
+
+def finished(spark: SparkSession, folder: str) -> dict[str, int] | None:
+    """The row counts of a whole export; None if its marker is missing."""
+    fs, at = _file_system(spark, folder)
+    if not fs.exists(at("complete.json")):
+        return None
+    return json.loads("".join(r[0] for r in spark.read.text(f"{folder.rstrip('/')}/complete.json").collect()))
 
 
 def verify_export(spark: SparkSession, df: DataFrame, folder: str, run_id: str) -> DataFrame:

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import types as T
 
-from quernstone.sources import delimited, pages, sinks
+from quernstone.sources import delimited, pages, sinks, workbooks
 
 
 def write(path, text):
@@ -49,23 +49,107 @@ def test_text_pages(spark, tmp_path):
     assert got == {("a.txt", 1): ("one", None), ("a.txt", 2): ("two 水", None), ("b.txt", 0): (None, "not_utf8"), ("c.txt", 0): (None, "no_text")}
 
 
-def workbook(sheet, shared=None):
+MAIN, RELS, PACKAGE = workbooks.MAIN[1:-1], workbooks.RELATION[1:-1], workbooks.PACKAGE[1:-1]
+
+
+def workbook(*sheets, shared=None, head=""):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{pages._NS["m"]}"><sheetData>{sheet}</sheetData></worksheet>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{RELS}"><sheets>' + "".join(f'<sheet name="s{i}" r:id="x{i}"/>' for i in range(len(sheets))) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{PACKAGE}">' + "".join(f'<Relationship Id="x{i}" Target="parts/p{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        for i, sheet in enumerate(sheets):
+            z.writestr(f"xl/parts/p{i}.xml", f'{head}<worksheet xmlns="{MAIN}"><sheetData>{sheet}</sheetData></worksheet>')
         if shared:
-            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{pages._NS["m"]}">' + "".join(f"<si><t>{s}</t></si>" for s in shared) + "</sst>")
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{MAIN}">' + "".join(f"<si>{s}</si>" for s in shared) + "</sst>")
     return out.getvalue()
 
 
+def cell(at, value, kind="s"):
+    return f'<c r="{at}" t="{kind}"><v>{value}</v></c>'
+
+
+HEAD = "<row>" + cell("A2", 0) + cell("C2", 1) + "</row>"
+STRINGS = ["<t>code</t>", "<t>name</t>", "<r><t>X </t></r><r><t>&amp; Y</t></r><rPh><t>reading</t></rPh>"]
+
+
 def test_workbooks(spark, tmp_path):
-    sheet = '<row><c r="A1" t="inlineStr"><is><t>title</t></is></c></row><row><c r="A2" t="s"><v>0</v></c><c r="C2" t="s"><v>1</v></c></row><row><c r="A3"><v>5</v></c><c r="C3" t="s"><v>2</v></c></row>'
-    (tmp_path / "a.xlsx").write_bytes(workbook(sheet, ["code", "name", "X & Y".replace("&", "&amp;")]))
-    (tmp_path / "b.xlsx").write_bytes(b"no zip")
-    (tmp_path / "c.xlsx").write_bytes(workbook('<row><c r="A1"><f>1+1</f><v>2</v></c></row>'))
-    got = {(r.path.rsplit("/", 1)[1], r.row_no): (r.cells, r.reason is None) for r in pages.workbook_rows(spark, str(tmp_path), ["code", "name"]).collect()}
-    assert got[("a.xlsx", 0)] == ({"code": "5", "name": "X & Y"}, True)
-    assert not got[("b.xlsx", -1)][1] and not got[("c.xlsx", -1)][1] and len(got) == 3
+    title = '<row><c r="A1" t="inlineStr"><is><t>title</t></is></c></row>'
+    body = "<row>" + cell("C4", 2) + cell("A4", 5, "n") + "</row><row>" + cell("AA5", 7, "n") + "</row>"
+    files = {
+        "a": workbook(title + HEAD + body, shared=STRINGS), "b": b"no zip", "c": workbook('<row><c r="A1"><f>1+1</f><v>2</v></c></row>'), "d": workbook(HEAD + "<row>" + cell("A3", 9) + "</row>", shared=STRINGS),
+        "e": workbook('<row><c t="n"><v>1</v></c></row>'), "f": workbook(HEAD + "<row>" + cell("A3", "-1") + "</row>", shared=STRINGS), "g": workbook(HEAD, HEAD, shared=STRINGS), "h": workbook(title),
+        "i": workbook(HEAD + "<row>" + cell("A3", 1, "n") + cell("A3", 2, "n") + "</row>", shared=STRINGS), "j": workbook("<row>" + cell("A2", 0) + cell("B2", 0) + cell("C2", 1) + "</row>", shared=STRINGS),
+        "k": workbook("<row>", shared=STRINGS), "l": workbook(title, head='<!DOCTYPE x [<!ENTITY y "z">]>'), "m": workbook("<row>" + cell("A1", "#DIV/0!", "e") + "</row>"),
+    }
+    for name, content in files.items():
+        (tmp_path / f"{name}.xlsx").write_bytes(content)
+    got = {(r.path.rsplit("/", 1)[1][0], r.row_no): (r.cells, r.reason) for r in workbooks.workbook_rows(spark, str(tmp_path), ["code", "name"]).collect()}
+    assert got.pop(("a", 4)) == ({"code": "5", "name": "X & Y"}, None) and got.pop(("a", 5)) == ({"code": None, "name": None}, None)
+    assert {k[0]: v[1] for k, v in got.items()} == {
+        "b": "not_a_workbook", "c": "formula", "d": "string_out_of_range", "e": "cell_without_address", "f": "string_out_of_range", "g": "several_sheets", "h": "no_header", "i": "cell_given_twice",
+        "j": "label_given_twice", "k": "part_damaged", "l": "document_type", "m": "error_value",
+    }
+    assert workbooks.table_rows(files["g"], ["code"], sheet="s1") == []
+
+
+def test_pdf_without_a_reader_or_damaged(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 damaged")
+    assert [(r.page_num, r.text) for r in pages.pdf_pages(spark, str(tmp_path)).collect()] == [(0, None)]
+
+
+def test_csv_headers_of_every_file(spark, tmp_path):
+    write(tmp_path / "a.csv", "x,y\n1,2\n")
+    write(tmp_path / "b.csv", "y,x\r\n3,4\r\n5\r\n")
+    rows, rejected = delimited.read_csv(spark, str(tmp_path))
+    assert sorted(map(str, (tuple(r) for r in rows.select("x", "y").collect()))) == sorted(["('1', '2')", "('4', '3')", "(None, '5')"]) and rejected.count() == 0
+    write(tmp_path / "c.csv", "x,z\n1,2\n")
+    with pytest.raises(delimited.HeaderError):
+        delimited.read_csv(spark, str(tmp_path))
+
+
+def test_csv_quotes_are_strict(spark, tmp_path):
+    p = write(tmp_path / "a.csv", 'a,b\n"5"6,x\n9"9",y\n"ok","o""k"\n"",z\n\n"two\nlines",w\nq"r,s\n1,2\n')
+    rows, rejected = delimited.read_csv(spark, p)
+    # from the lone quote on, the rest of the file is one open record
+    assert sorted(tuple(r) for r in rows.collect()) == sorted([("ok", 'o"k'), ("", "z"), ("two\nlines", "w")])
+    assert sorted((r.line_no, r.reason) for r in rejected.collect()) == [(2, "quoting"), (3, "quoting"), (9, "quoting")]
+
+
+def test_csv_in_small_splits(spark, tmp_path):
+    """Records of several lines that lie across the splits of a file, against the standard reader."""
+    import csv
+    import random
+
+    r = random.Random(7)
+    rows = [[str(i), "".join(r.choice(['"', "\n", ",", "x", "é", " "]) for _ in range(r.randint(0, 60)))] for i in range(400)]
+    with open(tmp_path / "a.csv", "w", newline="", encoding="utf-8") as f:
+        csv.writer(f, lineterminator="\n").writerows([["k", "v"], *rows])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got, rejected = delimited.read_csv(spark, str(tmp_path / "a.csv"))
+        assert sorted(([x.k, x.v] for x in got.collect()), key=lambda x: int(x[0])) == rows and rejected.count() == 0
+        lines = delimited.numbered_lines(spark, str(tmp_path / "a.csv"))
+        assert [x.line_no for x in lines.orderBy("line_no").collect()] == list(range(1, lines.count() + 1))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_record_without_end(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delimited, "MOST_RECORD", 50)
+    p = write(tmp_path / "a.csv", 'a\n1\n"open\n' + "x\n" * 100)
+    rows, rejected = delimited.read_csv(spark, p)
+    assert [r.a for r in rows.collect()] == ["1"] and [(r.line_no, r.line, r.reason) for r in rejected.collect()] == [(3, None, "quoting")]
+
+
+def test_jsonl_lines_and_fatal(spark, tmp_path):
+    p = write(tmp_path / "a.jsonl", '{"a": 1}\r\n\n{"a": }\n[1]\n')
+    schema = T.StructType([T.StructField("a", T.LongType())])
+    rows, rejected = delimited.read_jsonl(spark, p, schema)
+    assert rows.count() == 1 and sorted((r.line_no, r.reason) for r in rejected.collect()) == [(3, "invalid_json"), (4, "record_not_object")]
+    with pytest.raises(delimited.RecordError, match="line 3"):
+        delimited.read_jsonl(spark, p, schema, fatal=True)
 
 
 def test_runs_and_exports(spark, tmp_path):
@@ -80,9 +164,10 @@ def test_runs_and_exports(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).na.fill("").collect()) == [("1", "'=1+1"), ("2", ""), ("3", "x")]
     sinks.export_jsonl(df, str(tmp_path / "json"))
     assert '"v":null' in "".join(r[0] for r in spark.read.text(str(tmp_path / "json")).collect())
-    assert not sinks.is_finished(str(tmp_path))
-    sinks.finish(str(tmp_path), {"rows": 3})
-    assert sinks.is_finished(str(tmp_path))
+    assert sinks.finished(spark, str(tmp_path)) is None
+    sinks.finish(spark, str(tmp_path), {"rows": 3})
+    sinks.finish(spark, str(tmp_path), {"rows": 4})
+    assert sinks.finished(spark, str(tmp_path)) == {"rows": 4}
 
 
 def test_feeds(spark):
