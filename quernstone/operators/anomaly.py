@@ -56,7 +56,6 @@ def residuals(df: DataFrame, cohort: Sequence[str], key: str, features: Sequence
     moments = scaled.groupBy(*cohort).agg(
         F.first("__n").alias("__n"), F.first("__act").alias("__act"), F.array(*[F.avg(F.col("__x")[i]) for i in range(len(fs))]).alias("__m"),
         F.array(*[F.sum(F.col("__x")[i] * F.col("__x")[j]) for i, j in pairs]).alias("__p"),
-        F.max(sum((F.col("__x")[i] * F.col("__x")[i] for i in range(len(fs))), F.lit(0.0))).alias("__big"),
     )
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -75,13 +74,14 @@ def residuals(df: DataFrame, cohort: Sequence[str], key: str, features: Sequence
             s = s - count * np.outer(m, m)
             values, vectors = np.linalg.eigh(s)
             order = np.argsort(values)[::-1]
-            tops = np.sqrt(np.maximum(values[order], 0))
-            rank = int((tops > np.finfo(float).eps * max(count, len(m)) * max(tops[0], 1e-300)).sum())
+            # these are squares of singular values, known to rounding noise of the sums they were made from
+            noise = np.finfo(float).eps * max(count, len(m)) * max(float(np.trace(s)), float(count * (m @ m)), 1e-300)
+            rank = int((values[order] > noise).sum())
             keep = min(2, len(on) - 1, rank)
             out.append(vectors[:, order[:keep]].T.ravel().tolist())
         return pd.Series(out)
 
-    model = moments.withColumn("__basis", basis("__n", "__act", "__m", "__p")).select(*cohort, "__m", "__basis", "__big")
+    model = moments.withColumn("__basis", basis("__n", "__act", "__m", "__p")).select(*cohort, "__m", "__basis")
     joined = scaled.join(model, list(cohort))
     centred = F.zip_with("__x", "__m", lambda x, m: x - m)
     size = len(fs)
@@ -97,10 +97,12 @@ def residuals(df: DataFrame, cohort: Sequence[str], key: str, features: Sequence
         vector = F.when(has(i), part(i)).otherwise(F.array_repeat(F.lit(0.0), size))
         left = F.zip_with(left, stretched(vector, along), lambda x, y: x - y)
     e = c.withColumn("__r", left).withColumn("error", F.when(F.size("__basis") > 0, dot(F.col("__r"), F.col("__r"))))
-    e = e.withColumn("__g", group_key(cohort))
+    # written once: read for the threshold, for the largest member and for the answer
+    e = settled(e.select(key, *cohort, "__n", "__c", "error").withColumn("__g", group_key(cohort)))
     limit = quantiles(e, cohort, ["error"], [0.95]).select("__g", F.col("error_q")[0].alias("threshold"))
+    largest = e.groupBy("__g").agg(F.max(dot(F.col("__c"), F.col("__c"))).alias("__big"))
     noise = 100 * float(np.finfo(float).eps) * F.greatest(F.lit(1.0), F.col("__big"))
-    scored = e.join(limit, "__g", "left").withColumn("flagged", F.col("error") > F.col("threshold") + noise)
+    scored = e.join(limit, "__g", "left").join(largest, "__g").withColumn("flagged", F.col("error") > F.col("threshold") + noise)
     scored = scored.select(key, *cohort, "error", "threshold", F.coalesce("flagged", F.lit(False)).alias("flagged"),
                            F.when(F.col("__n") < least, "small_cohort").when(F.col("error").isNull(), "few_active_features").alias("skipped"))
     rest = base.where("not __ok").select(key, *cohort, F.lit(None).cast("double").alias("error"), F.lit(None).cast("double").alias("threshold"), F.lit(False).alias("flagged"), F.when(placed, "incomplete").otherwise("no_cohort").alias("skipped"))

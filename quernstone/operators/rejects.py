@@ -127,12 +127,65 @@ def _no_constant(name: str):
 _strict = json.JSONDecoder(object_pairs_hook=_Pairs, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant)
 
 
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\]:,])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null))')
+
+
+def without_depth(text: str, keep: int = 2) -> str | None:
+    """A JSON text with an empty list for every list or object that lies deeper than `keep` levels; None if it is not strict JSON.
+
+    A loop with a stack of its own, whatever the depth.
+    """
+    out: list[str] = []
+    stack: list[str] = []  # open brackets
+    at, n, expect = 0, len(text), "value"
+    while True:
+        m = _TOKEN.match(text, at)
+        if m is None:
+            break
+        mark, string, scalar = m.groups()
+        at, depth = m.end(), len(stack)
+        token = mark or string or scalar
+        if expect in ("value", "value or ]") and (string or scalar or mark in ("{", "[")):
+            if mark:
+                stack.append(mark)
+                expect = "key or }" if mark == "{" else "value or ]"
+                if depth == keep:
+                    out.append("[")
+                elif depth < keep:
+                    out.append(token)
+                continue
+            expect = "next" if stack else "end"
+        elif expect in ("key", "key or }") and string:
+            expect = ":"
+        elif expect == ":" and mark == ":":
+            expect = "value"
+        elif expect == "next" and mark == ",":
+            expect = "key" if stack[-1] == "{" else "value"
+        elif mark in ("}", "]") and stack and stack[-1] == {"}": "{", "]": "["}[mark] and expect in ("next", "key or }" if mark == "}" else "value or ]"):
+            stack.pop()
+            expect = "next" if stack else "end"
+            if depth == keep + 1:
+                out.append("]")
+            elif depth <= keep:
+                out.append(token)
+            continue
+        else:
+            return None
+        if depth <= keep:
+            out.append(token)
+    return "".join(out) if expect == "end" and not text[at:].strip(" \t\n\r") else None
+
+
 def split_object(text: str | None) -> tuple[int | None, list[tuple[str, str, str | None]]]:
     """(rank of a fault of the whole row, cells) of one JSON text; a cell is (column, kind, value)."""
     try:
         value = _strict.decode(text)
-    except (ValueError, TypeError, RecursionError):
+    except (ValueError, TypeError):
         return ROW_FIRST, []
+    except RecursionError:
+        # nests deeper than the decoder's stack: what lies deep is checked, but no cell, so that an empty list stands for it
+        shallow = without_depth(text)
+        return (ROW_FIRST, []) if shallow is None else split_object(shallow)
     if not isinstance(value, _Pairs):
         return ROW_SECOND, []
     names = [k for k, _ in value]

@@ -246,6 +246,17 @@ def test_residuals_against_svd(spark):
     assert {got[100].skipped, got[200].skipped, got[201].skipped, got[300].skipped} == {"small_cohort", "incomplete", "no_cohort", "few_active_features"} and len(got) == len(rows)
 
 
+def test_residuals_of_data_of_low_rank(spark):
+    """Exactly one or two components: nothing is left over, nobody stands out, however the data are shifted."""
+    r = np.random.default_rng(5)
+    for rank in (1, 2):
+        for shift in (0.0, 50.0):
+            m = r.normal(size=(40, rank)) @ r.normal(size=(rank, 4)) + shift
+            df = spark.createDataFrame([(i, "g", *map(float, v)) for i, v in enumerate(m)], "k bigint, c string, a double, b double, d double, e double")
+            got = anomaly.residuals(df, ["c"], "k", ["a", "b", "d", "e"]).collect()
+            assert max(x.error for x in got) < 1e-9 and not any(x.flagged for x in got)
+
+
 def test_text_helpers(spark):
     f = lambda fn, v: one(spark, v, "string", fn)
     assert f(text.fold, "  STRAßE　\n x ") == "strasse x" and f(text.bigrams, "机器人 a 水") == ["机器", "器人", "水"] and f(text.words, "a1 b-c") == ["a1", "b", "c"]

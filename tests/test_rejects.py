@@ -140,3 +140,44 @@ def test_empty_tables(spark):
     e = spark.createDataFrame([], "id bigint, t string")
     for parse, tbl in ((rejects.parsed_records, "raw_records"), (rejects.parsed_objects, "statements"), (rejects.parsed_amounts, "valuations")):
         assert rejects.failures(parse(e, "id", "t"), tbl).count() == 0
+
+
+def test_deep_json_is_no_fault():
+    deep = lambda n, inner="": '{"ticker": "x", "more": ' + "[" * n + inner + "]" * n + "}"
+    for n in (3, 2_000, 60_000):
+        assert rejects.split_object(deep(n))[0] is None and ("ticker", "text", "x") in rejects.split_object(deep(n))[1]
+        assert rejects.split_object(deep(n, "1 2")) == (rejects.ROW_FIRST, []) and rejects.split_object(deep(n)[:-1]) == (rejects.ROW_FIRST, [])
+    assert rejects.split_object("[" * 60_000 + "]" * 60_000) == (rejects.ROW_SECOND, [])
+    twice = '{"a": 1, "a": ' + "[" * 60_000 + "]" * 60_000 + "}"
+    assert rejects.split_object(twice) == (rejects.ROW_SECOND, [])
+
+
+def test_without_depth_accepts_what_json_accepts():
+    import json
+    import random
+
+    r = random.Random(4)
+
+    def value(depth):
+        k = r.randint(0, 7 if depth < 4 else 3)
+        if k < 4:
+            return r.choice(["1", "-0.5e+3", '"a\\u00e9\\n"', "true", "null", '""', "01", "1.", "nul", '"\\x"', "+1", "NaN"] if r.random() < 0.15 else ["1", "-0.5e+3", '"a\\u00e9"', "true", "null", '""'])
+        if k < 6:
+            return "[" + r.choice([",", " , ", ",,"] if r.random() < 0.1 else [",", " , "]).join(value(depth + 1) for _ in range(r.randint(0, 3))) + r.choice(["]"] * 15 + ["", ",]", "}"])
+        return "{" + ",".join(r.choice(['"k"', '"l"']) + ":" + value(depth + 1) for _ in range(r.randint(0, 3))) + r.choice(["}"] * 15 + ["", ",}"])
+
+    seen = set()
+    for _ in range(4000):
+        t = value(0)
+        try:
+            json.loads(t, parse_constant=rejects._no_constant)
+            good = True
+        except ValueError:
+            good = False
+        seen.add(good)
+        short = rejects.without_depth(t)
+        assert (short is not None) == good, t
+        if good:
+            json.loads(short)
+            assert rejects.split_object(short) == rejects.split_object(t)
+    assert seen == {True, False}
