@@ -19,7 +19,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -210,32 +212,50 @@ _CHECKED_RAW = {r: i for i, r in enumerate(VALUATION_COLUMNS) if r in (
     "snapshot_date", "available_at", "fx_date", "revision_id", "market_cap", "unit_scale", "fx_to_reporting")}
 
 
-def _parsed(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, _PARSED_ARROW)], schema=_PARSED_ARROW)
+_FIELDS = [_CELL.value_type[i] for i in range(3)]
+_NAMES = {c: i for i, c in enumerate(sorted({*VALUATION_COLUMNS, *_STATEMENT_CELLS}))}
+_KINDS = {k: i for i, k in enumerate(("null", "number", "text", "other"))}
+
+
+def _parsed(ids: pa.Array, faults: list[int | None], counts: list[int], names: list[int], kinds: list[int], values: pa.Array) -> pa.RecordBatch:
+    """Rows of cells from flat lists: names and kinds as places in their fixed lists."""
+    column = lambda codes, words: pa.array(list(words), pa.string()).take(pa.array(codes, pa.int32()))
+    offsets = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(counts, out=offsets[1:])
+    cells = pa.StructArray.from_arrays([column(names, _NAMES), column(kinds, _KINDS), values], fields=_FIELDS)
+    return pa.RecordBatch.from_arrays([ids, pa.array(faults, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), cells).cast(_CELL)], schema=_PARSED_ARROW)
 
 
 def _parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    places, checked, width = list(_CHECKED_RAW.values()), [_NAMES[c] for c in _CHECKED_RAW], len(VALUATION_COLUMNS)
+    pick = itemgetter(*places)
     for batch in batches:
-        rows = []
-        for row_id, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        faults, counts, values = [], [], []
+        for line in batch.column(1).to_pylist():
             cells = split_record(line) if line is not None else []
-            if cells is None:
-                rows.append((row_id, ROW_FIRST, []))
-            elif len(cells) != len(VALUATION_COLUMNS):
-                rows.append((row_id, ROW_SECOND, []))
+            if cells is not None and len(cells) == width:
+                faults.append(None)
+                counts.append(len(places))
+                values.extend(pick(cells))
             else:
-                rows.append((row_id, None, [{"column_name": c, "kind": "text", "value": cells[i]} for c, i in _CHECKED_RAW.items()]))
-        yield _parsed(rows)
+                faults.append(ROW_FIRST if cells is None else ROW_SECOND)
+                counts.append(0)
+        loaded = len(values) // len(places)
+        yield _parsed(batch.column(0), faults, counts, checked * loaded, [_KINDS["text"]] * len(values), pa.array(values, pa.string()))
 
 
 def _parse_objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        faults, counts, names, kinds, values = [], [], [], [], []
+        for text in batch.column(1).to_pylist():
             fault, cells = split_object(text)
-            rows.append((row_id, fault, [dict(zip(("column_name", "kind", "value"), c)) for c in cells]))
-        yield _parsed(rows)
+            faults.append(fault)
+            counts.append(len(cells))
+            for name, kind, value in cells:
+                names.append(_NAMES[name])
+                kinds.append(_KINDS[kind])
+                values.append(value)
+        yield _parsed(batch.column(0), faults, counts, names, kinds, pa.array(values, pa.string()))
 
 
 def parsed_records(df: DataFrame, row_id: str, line: str) -> DataFrame:
