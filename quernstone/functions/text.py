@@ -50,6 +50,11 @@ def terms(text: Column) -> Column:
     return F.concat(words(t), bigrams(t))
 
 
+def has_terms(text: Column) -> Column:
+    """Has a text any term? Without making them."""
+    return F.coalesce(F.lower(text).rlike(f"[a-z0-9ß{CJK}]"), F.lit(False))
+
+
 def fixed_chunks(text: Column, size: int = 480, overlap: int = 80) -> Column:
     """array<struct<chunk_no, char_start, chunk>> of windows of equal size; the last may be short, blank ones are left out."""
     n, step = F.length(text), size - overlap

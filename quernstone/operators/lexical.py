@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as tx
-from quernstone.session import settled
+from quernstone.session import plan_bytes, settled, shuffle_partitions
 
 K1, B = 1.5, 0.75
+#: Size of the files of a written table up to which it is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def _exploded(df: DataFrame, *keep: str) -> DataFrame:
@@ -51,31 +53,44 @@ def bm25(df: DataFrame, doc: str, text: str, queries: DataFrame, query: str, que
 
     Only postings of terms that occur in some query are kept, and document
     frequencies are counted on them; corpus size and mean length are one
-    aggregate over the lengths, kept beside every row as a one-row join.
+    aggregate over the lengths, kept beside every row as a one-row join. Where
+    the queries' files are small, or else the written table of their terms, the
+    terms and the frequencies, of which there are no more, go to the postings,
+    so that no common term gathers its postings in one task.
     """
     asked = query_terms(queries, query, query_text)
+    few = 0 < plan_bytes(queries) <= BROADCAST_BYTES
+    if not few:
+        asked = settled(asked)
+        few = 0 < plan_bytes(asked) <= BROADCAST_BYTES
     wanted = asked.select("term").distinct()
     sized = df.select(doc, tx.terms(F.col(text)).alias("t")).select(doc, F.coalesce(F.size("t"), F.lit(0)).alias("length"), "t")
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    hits = _exploded(sized, doc, "length").join(wanted, "term", "left_semi").groupBy(doc, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = _exploded(sized, doc, "length").join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy(doc, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     frequency = document_frequency(hits)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean = F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
     # a one-row aggregate: always small enough to broadcast
-    weighted = hits.join(frequency, "term").crossJoin(F.broadcast(stats)).select(doc, "term", part.alias("part"))
-    return weighted.join(asked, "term").groupBy(query, doc).agg(F.sum("part").alias("score"))
+    weighted = hits.join(F.broadcast(frequency) if few else frequency, "term").crossJoin(F.broadcast(stats)).select(doc, "term", part.alias("part"))
+    return weighted.join(F.broadcast(asked) if few else asked, "term").groupBy(query, doc).agg(F.sum("part").alias("score"))
+
+
+def _by_document(df: DataFrame, doc: str) -> DataFrame:
+    """df placed by document: its terms then need no shuffle to be counted. The texts travel once, which is less than their terms."""
+    return df.repartition(max(shuffle_partitions(df.sparkSession), df.rdd.getNumPartitions()), doc)
 
 
 def tfidf(df: DataFrame, doc: str, text: str, *keep: str) -> DataFrame:
     """(doc, kept columns, term, weight): (1 + ln tf) * (ln((1+N)/(1+df)) + 1), each document's weights of norm 1."""
-    p = postings(df, doc, text, *keep)
+    p = postings(_by_document(df.select(doc, text, *keep), doc), doc, text, *keep)
     total = df.agg(F.count(F.lit(1)).alias("n"))
     frequency = document_frequency(p)
     raw = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
     w = p.join(frequency, "term").crossJoin(F.broadcast(total)).select(doc, *keep, "term", raw.alias("w"))
-    norm = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, doc).select(doc, *keep, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # the terms of one document, so no group is large
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
+    return w.select(doc, *keep, "term", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf_search(vectors: DataFrame, doc: str, asked: DataFrame, query: str, frequency: DataFrame, total: int) -> DataFrame:
@@ -94,29 +109,32 @@ def near_duplicates(df: DataFrame, doc: str, text: str, group: str, order: Seque
     Exact, without comparing all pairs of a group. Documents of equal folded
     text form a class, which its first member stands for: later members match
     that member. Between classes, a cosine of at least t needs a common term
-    in both prefixes, where a prefix takes a vector's rarest terms until what
+    in both prefixes, where a prefix takes a vector's terms, the rarest of its group first, until what
     is left has a norm below t. What a pair shares there, with the norms of
     both rests, bounds its cosine; only pairs whose bound reaches t are
     verified. Ties go to the
     earliest document. Null groups and texts without terms have no match.
     """
     place = F.struct(*order, doc)
-    base = df.where(F.col(group).isNotNull() & (F.size(tx.terms(F.col(text))) > 0)).select(doc, group, text, place.alias("place"), F.xxhash64(group, tx.fold(F.col(text))).alias("a"), F.md5(tx.fold(F.col(text))).alias("b"))
-    base = base.drop(text)
+    known = df.where(F.col(group).isNotNull())
+    folded = tx.fold(F.col(text))
+    base = known.where(tx.has_terms(F.col(text))).select(doc, group, place.alias("place"), F.xxhash64(group, folded).alias("a"), F.md5(folded).alias("b"))
     firsts = base.groupBy(group, "a", "b").agg(F.min(F.struct("place", doc)).alias("first"), F.count(F.lit(1)).alias("copies")).select(group, "a", "b", F.col(f"first.{doc}").alias("head"), F.col("first.place").alias("head_place"))
     copies = base.join(firsts, [group, "a", "b"]).where(F.col(doc) != F.col("head")).select(F.col(doc), F.col("head").alias("match"), F.lit(1.0).alias("similarity"))
 
-    weights = tfidf(df.where(F.col(group).isNotNull()), doc, text, group)
     heads = firsts.select(F.col("head").alias(doc), "head_place")
     # read three times below, and costly to make
-    w = settled(weights.join(heads, doc))
-    frequency = w.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    w = settled(tfidf(known, doc, text, group).join(heads, doc))
+    # rare within the group: a word that all texts of an issuer hold is no reason to compare them
+    frequency = w.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"))
     in_order, whole = Window.partitionBy(doc).orderBy("df", "term"), Window.partitionBy(doc)
     mass = F.col("weight") * F.col("weight")
-    ranked = w.join(frequency, "term").withColumn("held", F.sum(mass).over(in_order))
+    ranked = w.join(frequency, [group, "term"]).withColumn("held", F.sum(mass).over(in_order))
     # what is left from a term on has the norm sqrt(1 - what was held before it)
     prefix = ranked.where(F.sqrt(F.greatest(1 - (F.col("held") - mass), F.lit(0.0))) >= threshold - 1e-9)
     prefix = prefix.withColumns({"last": F.max(F.struct("df", "term")).over(whole), "rest": F.sqrt(F.greatest(1 - F.max("held").over(whole), F.lit(0.0)))})
+    # a term that no other text of the group holds leads to no pair
+    prefix = prefix.where("df > 1")
     later = prefix.select(group, "term", doc, "head_place", "weight", "held", "last", "rest")
     earlier = prefix.select(group, "term", F.col(doc).alias("match"), F.col("head_place").alias("match_place"), *[F.col(c).alias(f"{c}_m") for c in ("weight", "held", "last", "rest")])
     met = later.join(earlier, [group, "term"]).where(F.col("match_place") < F.col("head_place"))

@@ -10,8 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.session import plan_bytes, settled, shuffle_partitions
+
 #: Numbers in one block of vectors; blocks, not vectors, meet each other.
 BLOCK_NUMBERS = 65_536
+#: Size of the queries' files, or of the written table of their blocks, up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -70,7 +74,19 @@ def cosine_topk(vectors: DataFrame, vec: str, embedding: str, queries: DataFrame
                 r, c = np.concatenate(rows), np.concatenate(cols)
                 yield pa.RecordBatch.from_arrays([asked.take(pa.array(r)), ids.take(pa.array(c)), pa.array(s[r, c])], names=[query, vec, "score"])
 
-    met = _blocks(vectors, vec, embedding, "v").join(_blocks(queries, query, query_embedding, "q"), F.col("v_dim") == F.col("q_dim")).select("v_dim", "v_keys", "v_numbers", "q_keys", "q_numbers")
+    v, q, few = _blocks(vectors, vec, embedding, "v"), _blocks(queries, query, query_embedding, "q"), 0 < plan_bytes(queries) <= BROADCAST_BYTES
+    if not few:
+        q = settled(q)
+        few = 0 < plan_bytes(q) <= BROADCAST_BYTES
+    if few:
+        # their files show that the queries are few: they go to the vectors, which stay where they are read
+        met = v.join(F.broadcast(q), F.col("v_dim") == F.col("q_dim"))
+    else:
+        # one dimension is one key: vector blocks are spread over all tasks, and each task gets all query blocks
+        n = shuffle_partitions(vectors.sparkSession)
+        met = v.withColumn("v_salt", F.pmod(F.xxhash64("v_keys"), F.lit(n)).cast("int")).join(
+            q.withColumn("q_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), (F.col("v_dim") == F.col("q_dim")) & (F.col("v_salt") == F.col("q_salt")))
+    met = met.select("v_dim", "v_keys", "v_numbers", "q_keys", "q_numbers")
     return top_ranked(met.mapInArrow(best, f"`{query}` {types[0]}, `{vec}` {types[1]}, score double"), query, vec, "score", k=k)
 
 

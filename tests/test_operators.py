@@ -368,3 +368,65 @@ def test_gates_and_beam(spark):
         best = gates.beam(axes, lambda c: (table[(c["x"], c["y"], c["z"])],), width=100)[0]
         assert best[0][0] == min(table.values())
         assert gates.beam(axes, lambda c: (table[(c["x"], c["y"], c["z"])],), width=1)[0][0] >= best[0]
+
+
+# -- hot keys -----------------------------------------------------------------
+
+def test_near_duplicates_with_one_hot_group(spark):
+    """Nine tenths of the texts belong to one issuer, and all of them share most words; against all pairs."""
+    r = random.Random(3)
+    common = [f"w{i}" for i in range(12)]
+    rows, originals = [], []
+    for i in range(150):
+        if originals and r.random() < 0.3:
+            words = r.choice(originals).split()
+            words[r.randrange(len(words))] = f"z{r.randint(0, 5)}"
+            t = " ".join(words)
+        else:
+            t = " ".join(common + [f"u{r.randint(0, 400)}" for _ in range(30)])
+            originals.append(t)
+        rows.append((i, "HOT" if i % 10 else "B", t, i))
+    df = spark.createDataFrame(rows, "d bigint, g string, t string, o int")
+    got = {x.d: x.match for x in lexical.near_duplicates(df, "d", "t", "g", ["o"], threshold=0.8).collect()}
+    counts = [{w: t.split().count(w) for w in t.split()} for _, _, t, _ in rows]
+    df_of = {}
+    for c in counts:
+        for w in c:
+            df_of[w] = df_of.get(w, 0) + 1
+    vec = []
+    for c in counts:
+        v = {w: (1 + np.log(n)) * (np.log((1 + len(rows)) / (1 + df_of[w])) + 1) for w, n in c.items()}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        vec.append({w: x / size for w, x in v.items()})
+    want = {}
+    for i, (_, g, t, _) in enumerate(rows):
+        same = [j for j in range(i) if rows[j][1] == g and rows[j][2] == t]
+        if same:
+            want[i] = same[0]
+            continue
+        best = [(-round(sum(x * vec[j].get(w, 0) for w, x in vec[i].items()), 9), j) for j in range(i) if rows[j][1] == g and rows[j][2] not in [rows[k][2] for k in range(j) if rows[k][1] == g]]
+        best = [b for b in best if -b[0] >= 0.8]
+        if best:
+            want[i] = min(best)[1]
+    assert got == want and len(want) > 20
+
+
+def test_cosine_with_queries_too_large_to_broadcast(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    v = r.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(300)], "k bigint, e array<double>")
+    q = df.where("k % 3 = 0").select(df.k.alias("q"), df.e.alias("qe"))
+    rows = lambda: sorted((x.q, x.k, x.rank) for x in vectors.cosine_topk(df, "k", "e", q, "q", "qe", k=4).collect())
+    first = rows()
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(vectors, "BLOCK_NUMBERS", 64)
+    assert rows() == first and len(first) == 400
+
+
+def test_bm25_with_queries_too_large_to_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "the robot arm " + ("gear " * (i % 4)) + f"n{i}") for i in range(60)] + [(99, None)], "d bigint, t string")
+    asked = spark.createDataFrame([(1, "robot gear"), (2, "the n7"), (3, "nothing else")], "q bigint, s string")
+    rows = lambda: sorted((x.q, x.d, round(x.score, 9)) for x in lexical.bm25(docs, "d", "t", asked, "q", "s").collect())
+    first = rows()
+    monkeypatch.setattr(lexical, "BROADCAST_BYTES", 0)
+    assert rows() == first and len(first) == 120
