@@ -97,3 +97,12 @@ def url_ok(url: Column, *, allow_user: bool = True) -> Column:
     """Has the address an http or https scheme and a host, and if asked, no user part? Null is no address."""
     form = r"^(?i:https?)://[^\s/?#@]+(?:[/?#]\S*)?$" if not allow_user else r"^(?i:https?)://[^\s/?#]+(?:[/?#]\S*)?$"
     return F.coalesce(url.rlike(form), F.lit(False))
+
+
+def strict_https(url: Column) -> Column:
+    """An https address on the standard port, of a public host by name, without user, fragment or blanks."""
+    host = F.lower(F.regexp_extract(url, r"^https://([^/?#]+)", 1))
+    name = F.regexp_replace(host, r":443$", "")
+    shaped = name.rlike(r"^(?=.{1,253}$)([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]([a-z0-9-]{0,61}[a-z0-9])?$")
+    private = name.rlike(r"(^|\.)(localhost|local|internal|invalid|test|example|onion|home\.arpa)$")
+    return F.coalesce(url.rlike(r"^https://[^\s#@\\]+$") & shaped & ~private, F.lit(False))
