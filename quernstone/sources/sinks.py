@@ -62,3 +62,44 @@ def finished(spark: SparkSession, folder: str) -> dict[str, int] | None:
 def verify_export(spark: SparkSession, df: DataFrame, folder: str, run_id: str) -> DataFrame:
     """Rows that a run's partition lacks or has beyond df; empty where both agree."""
     return reconcile(df, read_run(spark, folder, run_id))
+
+
+def export_html(df: DataFrame, folder: str, title: str) -> None:
+    """Rows as lines of an HTML table, every cell escaped, one page for each file of the folder; for results that people read."""
+    escape = lambda c: F.coalesce(F.replace(F.replace(F.replace(F.col(f"`{c}`").cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit(""))
+    told = title.replace("&", "&amp;").replace("<", "&lt;")
+    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), escape(c), F.lit("</td>")) for c in df.columns], F.lit("</tr>"))
+    head = f"<!doctype html><meta charset=utf-8><title>{told}</title><table><tr>" + "".join(f"<th>{c.replace('&', '&amp;').replace('<', '&lt;')}</th>" for c in df.columns) + "</tr>"
+
+    def page(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
+        yield from batches
+        yield pa.RecordBatch.from_arrays([pa.array(["</table>"])], names=["value"])
+
+    df.select(row.alias("value")).mapInArrow(page, "value string").write.mode("overwrite").text(folder)
+
+
+def read_json_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(path, object) of files of one JSON object each, and (path, reason) of the others: 'not_utf8', 'syntax' or 'not_object'."""
+    from quernstone.operators.rejects import without_depth
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts, reasons = [], []
+            for content in b.column(1).to_pylist():
+                try:
+                    t = content.decode("utf-8-sig")
+                    reason = None if (short := without_depth(t)) is not None and short.startswith("{") else "syntax" if short is None else "not_object"
+                except UnicodeDecodeError:
+                    t, reason = None, "not_utf8"
+                texts.append(t)
+                reasons.append(reason)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(reasons, pa.string())], names=["path", "object", "reason"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(path).select("path", "content")
+    read = files.mapInArrow(run, "path string, object string, reason string")
+    return read.where("reason is null").select("path", "object"), read.where("reason is not null").select("path", "reason")
