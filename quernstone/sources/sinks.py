@@ -74,9 +74,11 @@ def export_html(df: DataFrame, folder: str, title: str) -> None:
     def page(batches):
         import pyarrow as pa
 
-        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
-        yield from batches
-        yield pa.RecordBatch.from_arrays([pa.array(["</table>"])], names=["value"])
+        schema = pa.schema([("value", pa.string())])
+        yield pa.RecordBatch.from_arrays([pa.array([head])], schema=schema)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(["</table>"])], schema=schema)
 
     df.select(row.alias("value")).mapInArrow(page, "value string").write.mode("overwrite").text(folder)
 
