@@ -17,6 +17,8 @@ _HAN = "㐀-鿿"
 #: Blanks between two Chinese characters: a line break inside a word.
 TORN = rf"(?<=[{_HAN}])\s+(?=[{_HAN}])"
 _TORN = re.compile(TORN)
+# Fixed value: what counts as one word of a query.
+_WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 
 
 def analysis_text(text: Column) -> Column:
@@ -77,5 +79,4 @@ def expand(query: str, dictionary: Mapping[str, Sequence[str]]) -> tuple[list[st
 
 def qualifiers(query: str) -> list[str]:
     """What of a query must be met literally: its words of letters and digits together, as names of models are."""
-    words = re.findall(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*", unicodedata.normalize("NFKC", query))
-    return sorted({normal(w) for w in words if any(c.isalpha() for c in w) and any(c.isdigit() for c in w)})
+    return sorted({normal(w) for w in _WORD.findall(unicodedata.normalize("NFKC", query)) if any(c.isalpha() for c in w) and any(c.isdigit() for c in w)})

@@ -26,18 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.fields import MONEY_FIELDS, STATEMENT_DATES, STATEMENT_REQUIRED, VALUATION_COLUMNS
+
 # Fixed values of the input formats.
-VALUATION_COLUMNS = (
-    "ticker snapshot_date available_at revision_id market_cap currency unit_scale cap_scope fx_to_reporting fx_date fx_source_url source_url"
-).split()
-STATEMENT_REQUIRED = (
-    "ticker name market sector currency scope filing_id source_url period_start period_end available_at unit_scale"
-).split()
-MONEY_FIELDS = (
-    "net_income net_income_parent core_income_parent operating_cash_flow total_assets equity_parent current_assets current_liabilities"
-    " long_term_debt total_debt cash revenue cogs capex ebit interest_expense"
-).split()
-STATEMENT_DATES = ("period_start", "period_end", "available_at")
 #: Texts that mean "unknown", besides blanks.
 UNKNOWN = ("NA", "N/A", "null")
 

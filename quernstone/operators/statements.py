@@ -7,17 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.fields import MONEY_FIELDS, RATIOS, SIGNALS
 from quernstone.functions import dates
 from quernstone.functions import numeric as nm
 from quernstone.operators import rejects, versions
-from quernstone.operators.rejects import MONEY_FIELDS
 from quernstone.operators.tickers import clean_ticker
 
-RATIOS = (
-    "roa roe gross_margin cash_conversion core_profit_share fcf revenue_cagr_2y core_profit_cagr_2y net_debt_to_cfo interest_cover current_ratio revenue_growth_yoy core_profit_growth_yoy"
-).split()
-SIGNALS = "positive_roa positive_cfo roa_improved accruals_quality lower_leverage higher_current_ratio no_equity_issuance higher_gross_margin higher_asset_turnover".split()
-
 #: Amounts of the last year that go with the ratios.
 KEPT = ("core_income_parent", "interest_expense", "total_debt")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.operators.rejects import MONEY_FIELDS, STATEMENT_DATES, STATEMENT_REQUIRED, VALUATION_COLUMNS
+from quernstone.fields import MONEY_FIELDS, STATEMENT_DATES, STATEMENT_REQUIRED, VALUATION_COLUMNS
 
 _PLAIN = "[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
 

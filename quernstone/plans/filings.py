@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.fields import MONEY_FIELDS, RATIOS, SIGNALS
 from quernstone.operators import statements
-from quernstone.operators.rejects import MONEY_FIELDS
-from quernstone.operators.statements import RATIOS, SIGNALS
 from quernstone.plans.delivery_sql import _STATEMENTS, _number, _plain
 from quernstone.session import table
 

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.fields import METRICS, SIGNALS
 from quernstone.operators import screen, statements, units
 from quernstone.operators.screen import BLOCKS, CAPS, LEAST_PEERS, WEIGHTS
-from quernstone.operators.statements import KEPT, RATIOS, SIGNALS
 from quernstone.operators.tickers import clean_ticker
 from quernstone.plans.delivery_sql import _VALUED
 from quernstone.plans.filings import _LOADED, _THREE, AS_OF
 from quernstone.session import settled, table
 
-METRICS = (*RATIOS[:6], "core_earnings_yield", "fcf_yield", *RATIOS[6:])
 _MONEY = {"fcf"}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.fields import METRICS, SIGNALS
 from quernstone.functions import numeric as nm
 from quernstone.operators import evaluation, peers, ranks, versions
 from quernstone.session import table
@@ -13,11 +14,6 @@ ITEMS = ("revenue", "cogs", "tax", "qty", "orders")
 BLOCKS = {"quality": ("roe", "cash_conversion"), "growth": ("revenue_cagr_2y", "core_profit_cagr_2y"), "balance": ("net_debt_to_cfo", "interest_cover")}
 WEIGHTS = {"quality": 0.5, "growth": 0.3, "balance": 0.2}
 LOWER_IS_BETTER = {"net_debt_to_cfo"}
-METRICS = (
-    "roa roe gross_margin cash_conversion core_profit_share fcf core_earnings_yield fcf_yield revenue_cagr_2y core_profit_cagr_2y"
-    " net_debt_to_cfo interest_cover current_ratio revenue_growth_yoy core_profit_growth_yoy"
-).split()
-SIGNALS = "positive_roa positive_cfo roa_improved accruals_quality lower_leverage higher_current_ratio no_equity_issuance higher_gross_margin higher_asset_turnover".split()
 
 
 def years(spark: SparkSession, d: str) -> DataFrame:
