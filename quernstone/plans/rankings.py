@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import sentences as st
 from quernstone.functions import text as tx
-from quernstone.operators import anomaly, coverage, evaluation, gates, models, passages, vectors
+from quernstone.operators import anomaly, chunks, coverage, evaluation, gates, models, passages, vectors
 from quernstone.operators.tickers import clean_ticker
 from quernstone.plans import texts, years
-from quernstone.session import scratch, table
+from quernstone.session import scratch, settled, table
 from quernstone.streaming import upserts
 
 TOP = 5
@@ -94,21 +94,52 @@ def q_passage_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "ticker", "place", "unit", F.round("score", 6).alias("score"), "versions", "newest")
 
 
+def _latent(spark: SparkSession, d: str) -> models.LatentEncoder:
+    t = table(spark, d, "documents").where("text is not null and text <> ''")
+    return models.LatentEncoder.fit([r.text for r in models.sample(t, "doc_id", ["text"], models.LATENT_SAMPLE)])
+
+
 def q_encoded(spark: SparkSession, d: str) -> DataFrame:
-    """The ten titles nearest to each catalog title, by a hashing encoder over distinct texts."""
-    e = models.encode_distinct(table(spark, d, "theme_documents"), "title", models.HashEncoder())
-    q = models.encode_distinct(table(spark, d, "title_catalog"), "title", models.HashEncoder()).select(F.col("text_key").alias("query_key"), F.col("embedding").alias("asked"))
+    """The ten titles nearest to each catalog title, by latent vectors of distinct texts."""
+    model = _latent(spark, d)
+    e = models.encode_distinct(table(spark, d, "theme_documents"), "title", model)
+    q = models.encode_distinct(table(spark, d, "title_catalog"), "title", model).select(F.col("text_key").alias("query_key"), F.col("embedding").alias("asked"))
     return vectors.cosine_topk(e, "text_key", "embedding", q, "query_key", "asked", k=10).select("query_key", "text_key", F.round("score", 5).alias("score"), "rank")
 
 
+def _reranker(spark: SparkSession, d: str) -> models.TrainedReranker:
+    """Trained on the excerpts that were judged for a query: those on its business against the others."""
+    r = table(spark, d, "production_retrieval_results").where("claim_status is not null and exact_excerpt is not null and query is not null")
+    judged = models.sample(r.withColumn("good", F.col("claim_status").isin("direct_business", "upstream_or_downstream")), "result_id", ["query", "exact_excerpt", "good"], models.RERANK_SAMPLE)
+    return models.TrainedReranker.fit(_latent(spark, d), [(x.query, x.exact_excerpt, x.good) for x in judged])
+
+
 def q_reranked(spark: SparkSession, d: str) -> DataFrame:
-    """The fifty best documents of each query, ordered again by a reranker; the ten best stay."""
+    """The fifty best documents of each query, ordered again by the reranker; the ten best stay."""
     top = vectors.top_ranked(texts._bm25(spark, d).withColumn("score", F.round("score", 8)), "query_id", "doc_id", "score", k=50)
     with_text = top.join(texts._docs(spark, d).select("doc_id", "text"), "doc_id").join(texts._asked(spark, d), "query_id")
-    r = models.rerank(with_text, "query_id", "query", "doc_id", "text", models.OverlapReranker())
+    r = models.rerank(with_text, "query_id", "query", "doc_id", "text", _reranker(spark, d))
     return vectors.top_ranked(r.withColumn("score", F.round("rerank_score", 8)), "query_id", "doc_id", "score", k=10).select("query_id", "doc_id", "rank")
 
 
+def q_four_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best fixed chunks of each query by fusion and reranking, beside all four scores."""
+    found = settled(chunks.chunks(texts._docs(spark, d), "doc_id", "text", "ticker"))
+    asked, reranker = texts._asked(spark, d), _reranker(spark, d)
+    bm25 = chunks.bm25_chunks(found, asked, "query_id", "query", {}, k=50)
+    e = models.encode_distinct(found, "chunk", reranker.encoder)
+    q = models.encode_distinct(asked, "query", reranker.encoder).join(asked.select("query_id", F.md5("query").alias("text_key")), "text_key").select("query_id", F.col("embedding").alias("asked"))
+    near = vectors.cosine_topk(e, "text_key", "embedding", q, "query_id", "asked", k=50).select("query_id", "text_key", "score")
+    held = near.join(found.select("chunk_id", F.md5("chunk").alias("text_key")), "text_key")
+    dense = vectors.top_ranked(held.withColumnRenamed("score", "dense_cosine"), "query_id", "chunk_id", "dense_cosine", k=50).select("query_id", "chunk_id", "dense_cosine", F.col("rank").alias("dense_rank"))
+    lists = bm25.select("query_id", "chunk_id", F.col("bm25_rank").alias("rank")).unionByName(dense.select("query_id", "chunk_id", F.col("dense_rank").alias("rank")))
+    first = vectors.top_ranked(vectors.reciprocal_rank_fusion(lists, "query_id", "chunk_id", "rank").withColumn("score", F.round("score", 12)), "query_id", "chunk_id", "score", k=50)
+    texts_of = first.select("query_id", "chunk_id").join(found.select("chunk_id", "chunk"), "chunk_id").join(asked, "query_id")
+    scores = models.rerank(texts_of, "query_id", "query", "chunk_id", "chunk", reranker).withColumnRenamed("rerank_score", "reranker_score")
+    r = chunks.four_scores(found, bm25, dense, scores, "query_id", k=10)
+    return r.select("query_id", "rank", "chunk_id", "doc_id", "ticker", "char_start", *[F.round(c, 6).alias(c) for c in ("score", "bm25_score", "dense_cosine", "rrf_score", "reranker_score")])
+
+
 def q_gates(spark: SparkSession, d: str) -> DataFrame:
     """Whether coverage, completeness and freshness of a delivery suffice."""
     c = table(spark, d, "companies").select(clean_ticker("ticker").alias("ticker"))
@@ -130,7 +161,7 @@ def q_binary(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "passage_units": q_units, "passage_search": q_passage_search, "encoded_titles_topk": q_encoded, "rerank_topk": q_reranked, "readiness_checks": q_gates, "binary_retrieval": q_binary,
+    "passage_units": q_units, "passage_search": q_passage_search, "encoded_titles_topk": q_encoded, "rerank_topk": q_reranked, "chunk_four_scores": q_four_scores, "readiness_checks": q_gates, "binary_retrieval": q_binary,
     "ir_metrics_bounds": q_bounds, "confusion_matrix": q_confusion, "class_report": q_classes, "macro_average": q_macro, "jaccard_overlap": q_jaccard, "pca_anomalies": q_anomalies, "sentences": q_sentences,
     "stream_versions_latest": q_stream,
 }

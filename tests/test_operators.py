@@ -430,3 +430,21 @@ def test_bm25_with_queries_too_large_to_broadcast(spark, monkeypatch):
     first = rows()
     monkeypatch.setattr(lexical, "BROADCAST_BYTES", 0)
     assert rows() == first and len(first) == 120
+
+
+def test_latent_encoder_and_reranker_learn():
+    """Two subjects in texts that share no words: texts of one are nearer, also to a query in other words of it; judged pairs are told apart."""
+    from quernstone.operators import models
+
+    r = random.Random(1)
+    subjects = [["turbine", "blade", "rotor", "wind", "nacelle", "gearbox"], ["insulin", "dosage", "patient", "clinic", "trial", "serum"]]
+    texts = [" ".join(r.choice(subjects[i % 2]) for _ in range(12)) for i in range(300)]
+    e = models.LatentEncoder.fit(texts, width=512, dim=2)
+    v = e.encode(["turbine blade", "rotor nacelle gearbox", "insulin dosage serum", ""])
+    assert v[0] @ v[1] > v[0] @ v[2] + 0.3 and np.allclose(np.linalg.norm(v[:3], axis=1), 1, atol=1e-5) and not v[3].any()
+    queries = ["wind turbine", "insulin trial"]
+    judged = [(queries[q], t, i % 2 == q) for i, t in enumerate(texts[:200]) for q in (0, 1)]
+    m = models.TrainedReranker.fit(e, judged)
+    held = [(m.rerank(queries[q], [t])[0] > 0.5) == (i % 2 == q) for i, t in enumerate(texts[200:]) for q in (0, 1)]
+    assert sum(held) / len(held) > 0.95
+    assert models.TrainedReranker.fit(e, []).rerank("x", ["y"]) == [0.5] and models.LatentEncoder.fit(["a"]).encode(["a"]).shape == (1, 64)
