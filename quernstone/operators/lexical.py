@@ -81,9 +81,14 @@ def _by_document(df: DataFrame, doc: str) -> DataFrame:
     return df.repartition(max(shuffle_partitions(df.sparkSession), df.rdd.getNumPartitions()), doc)
 
 
+def placed_postings(df: DataFrame, doc: str, text: str, *keep: str) -> DataFrame:
+    """postings() of a table placed by document. Equal calls are equal plans, and share their shuffles."""
+    return postings(_by_document(df.select(doc, text, *keep), doc), doc, text, *keep)
+
+
 def tfidf(df: DataFrame, doc: str, text: str, *keep: str) -> DataFrame:
     """(doc, kept columns, term, weight): (1 + ln tf) * (ln((1+N)/(1+df)) + 1), each document's weights of norm 1."""
-    p = postings(_by_document(df.select(doc, text, *keep), doc), doc, text, *keep)
+    p = placed_postings(df, doc, text, *keep)
     total = df.agg(F.count(F.lit(1)).alias("n"))
     frequency = document_frequency(p)
     raw = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)

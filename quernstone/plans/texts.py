@@ -84,7 +84,7 @@ def q_tfidf(spark: SparkSession, d: str) -> DataFrame:
 def q_tfidf_search(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     v = lexical.tfidf(docs, "doc_id", "text")
-    df = lexical.document_frequency(lexical.postings(docs, "doc_id", "text"))
+    df = lexical.document_frequency(lexical.placed_postings(docs, "doc_id", "text"))
     asked = _asked(spark, d).select("query_id", F.explode(tx.terms(F.col("query"))).alias("term"))
     return lexical.tfidf_search(v, "doc_id", asked, "query_id", df, docs.count()).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 

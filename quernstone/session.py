@@ -108,8 +108,9 @@ def _release_all() -> None:
 
 
 def spill_folder() -> str:
-    """Where a worker process may spill: the scratch folder Spark gave to its machine."""
-    return os.path.join((os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir()).split(",")[0], f"quernstone-spill-{os.getpid()}")
+    """Where a worker process may spill: the scratch folder that Spark gave it, as for its own shuffles; outside a worker none."""
+    given = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    return os.path.join(given, f"quernstone-spill-{os.getpid()}") if given else ""
 
 
 _shipped: set[str] = set()
