@@ -55,6 +55,11 @@ def _currency(word: Column) -> Column:
     return _lookup(F.regexp_replace(word, r"(?U)\s+", ""), {k: tuple({k, *v}) for k, v in CURRENCY_WORDS.items()})
 
 
+def unit_value(word: Column) -> Column:
+    """The number that a unit's word stands for; null for no or another word."""
+    return _lookup(word, {u: w for u, w in UNIT_WORDS.items()})
+
+
 def read_amounts(valuations: DataFrame, companies: DataFrame, fx: DataFrame) -> DataFrame:
     """One row per loadable, known amount, with what it states.
 
@@ -70,7 +75,7 @@ def read_amounts(valuations: DataFrame, companies: DataFrame, fx: DataFrame) ->
     ).where(~is_unknown(F.col("market_cap")))
     parsed = with_amount(read, "market_cap").select(
         "valuation_id", "run_id", clean_ticker("ticker").alias("ticker"), "snapshot_date", "provider", "cap_scope",
-        "number", _lookup(F.col("unit_word"), {u: w for u, w in UNIT_WORDS.items()}).alias("unit_text"),
+        "number", unit_value(F.col("unit_word")).alias("unit_text"),
         F.when((F.col("unit_scale") > 0) & (F.col("unit_scale") < float("inf")), F.col("unit_scale")).alias("unit_scale"),
         F.coalesce(_currency(F.col("currency")), _currency(F.col("currency_word"))).alias("own_currency"), "fx_to_reporting",
     )

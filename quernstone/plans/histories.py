@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import dates, numeric, text
-from quernstone.operators import coverage, versions
+from quernstone.operators import coverage, rejects, units, versions
 from quernstone.operators.tickers import clean_ticker
+from quernstone.plans.delivery_sql import _AMOUNTS, _RECORDS, _UNIT_VALUE
 from quernstone.session import table
 
 AS_OF = "2025-06-30"
@@ -70,10 +71,11 @@ def q_number(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_scaled(spark: SparkSession, d: str) -> DataFrame:
-    """Plain amounts times scale and rate; unknown if any factor is."""
-    v = table(spark, d, "valuations").withColumn("n", numeric.number(F.col("market_cap")))
-    x = numeric.finite(F.col("n") * F.col("unit_scale") * F.col("fx_to_reporting"))
-    return v.select("valuation_id", (F.round(x / 1e6, 2) + 0.0).alias("millions"))
+    """Amounts in millions by their own unit, or else the stated one, and the delivered rate; null where one of them is unknown."""
+    x = rejects.with_amount(table(spark, d, "valuations"), "market_cap")
+    x = x.withColumn("number", F.when(~rejects.is_unknown(F.col("market_cap")), F.col("number")))
+    unit = F.coalesce(units.unit_value(F.col("unit_word")), F.col("unit_scale"))
+    return x.select("valuation_id", (F.round(numeric.finite(F.col("number") * unit * F.col("fx_to_reporting")) / 1e6, 2) + 0.0).alias("millions"))
 
 
 def q_ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -143,10 +145,11 @@ def q_urls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_days(spark: SparkSession, d: str) -> DataFrame:
-    """Strict days among the second cells of plain records, and their age."""
-    cell = F.get(F.split("raw_line", ","), F.lit(1))
-    day = dates.strict_day(cell)
-    return table(spark, d, "raw_records").select("record_id", day.alias("day"), dates.age_days(F.lit(AS_OF).cast("date"), day).alias("age"))
+    """Strict days among the snapshot days of the records that can be cut into cells, and their age."""
+    x = rejects.parsed_records(table(spark, d, "raw_records"), "record_id", "raw_line")
+    cell = F.get(F.filter("cells", lambda c: c["column_name"] == "snapshot_date"), F.lit(0))["value"]
+    day = dates.strict_day(F.col("cell"))
+    return x.select(F.col("row_id").alias("record_id"), cell.alias("cell")).select("record_id", day.alias("day"), dates.age_days(F.lit(AS_OF).cast("date"), day).alias("age"))
 
 
 def q_market_day(spark: SparkSession, d: str) -> DataFrame:
@@ -194,7 +197,7 @@ SQL = {
     "asof_latest_value": "SELECT user_id, event_type, event_id, value FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "repeated_documents": "SELECT document_id, count(*) AS n_rows, count(DISTINCT md5(text)) AS n_texts FROM theme_documents GROUP BY document_id HAVING count(*) > 1",
     "number_parse": f"SELECT valuation_id, ({_NUM_SQL}) + 0.0 AS value, coalesce(market_cap IS NOT NULL AND trim(market_cap) NOT IN ('', 'NA', 'N/A', 'null') AND ({_NUM_SQL}) IS NULL, false) AS fault FROM valuations",
-    "valuation_fx": f"SELECT valuation_id, round(({_NUM_SQL}) * unit_scale * fx_to_reporting / 1e6, 2) + 0.0 AS millions FROM valuations",
+    "valuation_fx": f"WITH {_AMOUNTS} SELECT v.valuation_id, round(a.number * coalesce({_UNIT_VALUE}, v.unit_scale) * v.fx_to_reporting / 1e6, 2) + 0.0 AS millions FROM valuations v LEFT JOIN amounts a ON a.valuation_id = v.valuation_id",
     "date_window_join": f"""WITH x AS (SELECT {_TICKER_SQL} AS ticker, available_at, max(available_at) OVER (PARTITION BY {_TICKER_SQL}) AS newest FROM documents WHERE ticker IS NOT NULL AND available_at IS NOT NULL)
         SELECT ticker, count(*) AS n, max(newest) AS newest FROM x WHERE available_at >= newest - 90 GROUP BY ticker""",
     "doc_semi_join": f"SELECT doc_id FROM documents WHERE {_TICKER_SQL} IN (SELECT {_TICKER_SQL} FROM companies)",
@@ -211,7 +214,7 @@ SQL = {
     "status_rollup": """WITH o AS (SELECT query_id, list_position(['direct_business', 'upstream_or_downstream', 'planned', 'uncertain', 'negated'], claim_status) AS l FROM production_retrieval_results)
         SELECT query_id, ['direct_business', 'upstream_or_downstream', 'planned', 'uncertain', 'negated'][max(l)] AS status FROM o GROUP BY query_id""",
     "url_validity": "SELECT valuation_id, coalesce(regexp_matches(source_url, '^(?i:https?)://[^\\s/?#]+([/?#]\\S*)?$'), false) AS ok FROM valuations",
-    "strict_dates": f"""WITH x AS (SELECT record_id, string_split(raw_line, ',')[2] AS cell FROM raw_records), y AS (SELECT record_id, CASE WHEN regexp_matches(cell, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN try_cast(cell AS DATE) END AS day FROM x)
+    "strict_dates": f"""WITH {_RECORDS}, x AS (SELECT record_id, CASE WHEN quoted AND len(cells) = 12 THEN snapshot_date END AS cell FROM record_cells), y AS (SELECT record_id, CASE WHEN regexp_matches(cell, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN try_cast(cell AS DATE) END AS day FROM x)
         SELECT record_id, day, datediff('day', day, DATE '{AS_OF}') AS age FROM y""",
     "market_day": "SELECT CAST(observed_at + INTERVAL 8 HOUR AS DATE) AS market_day, count(*) AS n FROM documents WHERE observed_at IS NOT NULL GROUP BY 1",
     "effective_day": "SELECT doc_id, greatest(available_at, CAST(observed_at AS DATE)) AS effective, datediff('day', available_at, CAST(observed_at AS DATE)) AS delay FROM documents",
