@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as tx
+from quernstone.operators import bags
 from quernstone.session import plan_bytes, settled, shuffle_partitions
 
 K1, B = 1.5, 0.75
 #: Size of the files of a written table up to which it is broadcast.
 BROADCAST_BYTES = 8 << 20
+#: Bytes of text that one block of near-duplicates holds at most, but for the chance of a hash.
+BLOCK_BYTES = 24 << 20
 
 
 def _exploded(df: DataFrame, *keep: str) -> DataFrame:
@@ -111,54 +114,45 @@ def tfidf_search(vectors: DataFrame, doc: str, asked: DataFrame, query: str, fre
 def near_duplicates(df: DataFrame, doc: str, text: str, group: str, order: Sequence[str], *, threshold: float = 0.9) -> DataFrame:
     """(doc, match, similarity): the most similar earlier document of the same group, at or above the threshold.
 
-    Exact, without comparing all pairs of a group. Documents of equal folded
-    text form a class, which its first member stands for: later members match
-    that member. Between classes, a cosine of at least t needs a common term
-    in both prefixes, where a prefix takes a vector's terms, the rarest of its group first, until what
-    is left has a norm below t. What a pair shares there, with the norms of
-    both rests, bounds its cosine; only pairs whose bound reaches t are
-    verified. Ties go to the
-    earliest document. Null groups and texts without terms have no match.
+    Exact. Texts travel to blocks of bounded size, and their terms never do: a
+    block holds whole groups or, of a group above BLOCK_BYTES, two of its
+    chunks, so that any two of its texts meet somewhere. First each block counts
+    its terms, and gets back the frequency of those that more than one document
+    holds; then it weighs its texts and looks for each one's nearest earlier one
+    (operators.bags). Similarities are compared as rounded to nine places. Ties
+    go to the earliest document. Null groups and texts without terms have no match.
     """
-    place = F.struct(*order, doc)
+    spark = df.sparkSession
     known = df.where(F.col(group).isNotNull())
-    folded = tx.fold(F.col(text))
-    base = known.where(tx.has_terms(F.col(text))).select(doc, group, place.alias("place"), F.xxhash64(group, folded).alias("a"), F.md5(folded).alias("b"))
-    firsts = base.groupBy(group, "a", "b").agg(F.min(F.struct("place", doc)).alias("first"), F.count(F.lit(1)).alias("copies")).select(group, "a", "b", F.col(f"first.{doc}").alias("head"), F.col("first.place").alias("head_place"))
-    copies = base.join(firsts, [group, "a", "b"]).where(F.col(doc) != F.col("head")).select(F.col(doc), F.col("head").alias("match"), F.lit(1.0).alias("similarity"))
-
-    heads = firsts.select(F.col("head").alias(doc), "head_place")
-    # read three times below, and costly to make
-    w = settled(tfidf(known, doc, text, group).join(heads, doc))
-    # rare within the group: a word that all texts of an issuer hold is no reason to compare them
-    frequency = w.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"))
-    in_order, whole = Window.partitionBy(doc).orderBy("df", "term"), Window.partitionBy(doc)
-    mass = F.col("weight") * F.col("weight")
-    ranked = w.join(frequency, [group, "term"]).withColumn("held", F.sum(mass).over(in_order))
-    # what is left from a term on has the norm sqrt(1 - what was held before it)
-    prefix = ranked.where(F.sqrt(F.greatest(1 - (F.col("held") - mass), F.lit(0.0))) >= threshold - 1e-9)
-    prefix = prefix.withColumns({"last": F.max(F.struct("df", "term")).over(whole), "rest": F.sqrt(F.greatest(1 - F.max("held").over(whole), F.lit(0.0)))})
-    # a term that no other text of the group holds leads to no pair
-    prefix = prefix.where("df > 1")
-    later = prefix.select(group, "term", doc, "head_place", "weight", "held", "last", "rest")
-    earlier = prefix.select(group, "term", F.col(doc).alias("match"), F.col("head_place").alias("match_place"), *[F.col(c).alias(f"{c}_m") for c in ("weight", "held", "last", "rest")])
-    met = later.join(earlier, [group, "term"]).where(F.col("match_place") < F.col("head_place"))
-    pairs = met.groupBy(doc, "match", "match_place").agg(
-        F.sum(F.col("weight") * F.col("weight_m")).alias("shared"), F.max("held").alias("held"), F.max("held_m").alias("held_m"),
-        F.first("rest").alias("rest"), F.first("rest_m").alias("rest_m"), F.first(F.col("last") <= F.col("last_m")).alias("ends_first"),
+    sizes = settled(known.groupBy(group).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")))
+    total = sizes.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    blocks = max(2 * shuffle_partitions(spark), 2 * total.bytes // BLOCK_BYTES)
+    # each has more than BLOCK_BYTES, so they are few
+    large = sizes.where(F.col("bytes") > BLOCK_BYTES).select(group, F.ceil(2 * F.col("bytes") / BLOCK_BYTES).cast("int").alias("chunks"))
+
+    # the text as terms() reads it
+    lower = F.replace(F.lower(text), F.lit("ß"), F.lit("ss")).alias("t")
+    x = known.where(F.col(text).isNotNull()).select(doc, group, *[c for c in order if c not in (doc, group)], lower).join(F.broadcast(large), group, "left")
+    chunk = F.pmod(F.xxhash64(doc, F.lit(1)), F.col("chunks")).cast("int")
+    place = lambda block, home: F.struct(block.cast("bigint").alias("block"), home.alias("home"))
+    # a document of a large group is in several blocks, and counted in one of them
+    met = F.transform(
+        F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: o != chunk),
+        lambda o: place(F.xxhash64(group, F.least(chunk, o), F.greatest(chunk, o)), o == F.pmod(chunk + 1, F.col("chunks"))),
     )
-    # up to the end of the shorter prefix all common terms are known; beyond it lie the rests of both
-    open_ = lambda c: F.sqrt(F.greatest(1 - F.col(c), F.lit(0.0)))
-    bound = F.col("shared") + F.when(F.col("ends_first"), F.col("rest") * open_("held_m")).otherwise(F.col("rest_m") * open_("held"))
-    candidates = pairs.where(bound >= threshold - 1e-9).select(doc, "match", "match_place")
-    right = w.select(F.col(doc).alias("match"), "term", F.col("weight").alias("other"))
-    verified = (
-        candidates.join(w.select(doc, "term", "weight"), doc).join(right, ["match", "term"])
-        .groupBy(doc, "match", "match_place").agg(F.least(F.sum(F.col("weight") * F.col("other")), F.lit(1.0)).alias("similarity"))
-        .where(F.col("similarity") >= threshold)
-    )
-    best = verified.groupBy(doc).agg(F.min(F.struct((-F.round("similarity", 9)).alias("s"), "match_place", "match")).alias("best"))
-    return best.select(doc, F.col("best.match").alias("match"), (-F.col("best.s")).alias("similarity")).unionByName(copies)
+    alone = F.array(place(F.pmod(F.xxhash64(group), F.lit(blocks)), F.lit(True)))
+    x = x.withColumn("at", F.explode(F.when(F.col("chunks").isNull(), alone).otherwise(met))).select("at.block", "at.home", *[c for c in x.columns if c != "chunks"])
+
+    n = total.docs
+    counted = x.groupBy("block").applyInArrow(bags.count_block, "block bigint, term bigint, n bigint")
+    frequency = counted.withColumn("df", F.sum("n").over(Window.partitionBy("term"))).where("df > 1").select("block", "term", "df")
+    types = dict(x.dtypes)
+    found = x.groupBy("block").cogroup(frequency.groupBy("block")).applyInArrow(
+        lambda texts, known: bags.match_block(texts, known, n, doc, group, order, threshold),
+        f"`{doc}` {types[doc]}, similarity double, place struct<{', '.join(f'`o{i}`: {types[c]}' for i, c in enumerate(order))}, `match`: {types[doc]}>",
+    )
+    best = found.groupBy(doc).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "place")).alias("best"))
+    return best.select(doc, F.col("best.place.match").alias("match"), (-F.col("best.s")).alias("similarity"))
 
 
 def topic_hits(df: DataFrame, doc: str, text: str, topics: dict[str, Sequence[str]]) -> DataFrame:
