@@ -22,7 +22,7 @@ def _metrics(spark: SparkSession, d: str) -> DataFrame:
     companies = table(spark, d, "companies")
     r = statements.ratios(statements.three_years(statements.load(table(spark, d, "statements")), as_of))
     newest = screen.newest_known(table(spark, d, "valuations"), as_of)
-    cap = units.by_rule(units.read_amounts(newest, companies, table(spark, d, "fx_rates")))
+    cap = units.by_rule(units.read_amounts(newest, companies, table(spark, d, "fx_rates"))).select("valuation_id", "amount", "reporting_currency")
     values = newest.select("valuation_id", "ticker", F.col("snapshot_date").alias("valued_on")).join(cap, "valuation_id").select("ticker", "valued_on", F.col("amount").alias("cap"), F.col("reporting_currency").alias("cap_currency"))
     c = companies.select(clean_ticker("ticker").alias("ticker"), "market", "sector").dropDuplicates(["ticker"])
     return screen.with_yields(r, values).join(c, "ticker", "left")
